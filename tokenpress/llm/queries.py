@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, simhash, substring, suffix
+from . import decontam, quality_rules, simhash, substring, suffix
 from .common import table
 
 
@@ -26,7 +26,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_robust_outliers, op2_substring_dedup, op4_suffix_array_dedup, op5_simhash)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_robust_outliers, op2_substring_dedup, op4_suffix_array_dedup, op5_simhash, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": r"""
@@ -41,4 +45,13 @@ ORACLE_SQL: dict[str, str] = {
         FROM d LEFT JOIN rest USING (doc_id)
         LEFT JOIN (SELECT doc_id, count(*) AS s FROM cut c WHERE NOT EXISTS (SELECT 1 FROM cut b WHERE b.doc_id = c.doc_id AND b.i = c.i - 1) GROUP BY doc_id) USING (doc_id)
     """,
+    "op10_decontamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+        bs AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT item_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM b WHERE len(w) > 0)),
+        ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM bs))),
+        n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+        SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, any_value(n)::BIGINT AS n_shingles, round(count(*) / any_value(n), 6) AS containment
+        FROM ds JOIN bs USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n)
+    """,
 }

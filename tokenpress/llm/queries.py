@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, quality_rules, secret_scan, simhash, substring, suffix
+from . import decontam, packing, quality_rules, secret_scan, simhash, substring, suffix, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeated_windows(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.drop_repeated_bytes(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_robust_outliers, op2_substring_dedup, op4_suffix_array_dedup, op5_simhash, op8_packing, op9_secret_scan, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_robust_outliers, op2_substring_dedup, op3_warc_transactions, op4_suffix_array_dedup, op5_simhash, op8_packing, op9_secret_scan, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": r"""
@@ -64,4 +68,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, any_value(n)::BIGINT AS n_shingles, round(count(*) / any_value(n), 6) AS containment
         FROM ds JOIN bs USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n)
     """,
+    "op3_warc_transactions": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x, min(page_id) OVER (PARTITION BY sha1(b)) AS lo FROM p),
+        bits AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: bin(16 + ('0x' || x[i:i])::INT)[2:5]), '') AS z FROM h)
+        SELECT page_id, n::BIGINT AS payload_bytes,
+               array_to_string(list_transform(list_transform(range(0, 32), lambda i: 16 * z[5*i+1:5*i+1]::INT + 8 * z[5*i+2:5*i+2]::INT + 4 * z[5*i+3:5*i+3]::INT + 2 * z[5*i+4:5*i+4]::INT + z[5*i+5:5*i+5]::INT), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[k + 1:k + 1]), '') AS payload_digest,
+               CASE WHEN lo < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN lo < page_id THEN lo END AS refers_to
+        FROM bits
+    """,
 }

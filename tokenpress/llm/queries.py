@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, quality_rules, secret_scan, simhash, substring, suffix, warc
+from . import decontam, langid, packing, quality, quality_rules, secret_scan, simhash, substring, suffix, warc
 from .common import table
 
 
@@ -30,6 +30,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,7 +52,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_robust_outliers, op2_substring_dedup, op3_warc_transactions, op4_suffix_array_dedup, op5_simhash, op8_packing, op9_secret_scan, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_robust_outliers, op2_substring_dedup, op3_warc_transactions, op4_suffix_array_dedup, op5_simhash, op6_language_id, op7_quality_classifier, op8_packing, op9_secret_scan, op10_decontamination,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": r"""

@@ -1,4 +1,6 @@
 """All queries on the library's own operators, by name, and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import records, texts
+
+QUERIES: dict = texts.QUERIES | records.QUERIES
+ORACLE_SQL: dict[str, str] = texts.ORACLE_SQL | records.ORACLE_SQL

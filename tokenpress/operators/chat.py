@@ -106,7 +106,7 @@ def parse(raw: Column | str) -> Column:
         import pandas as pd
 
         made = [parse_conversation(x or "") for x in s]
-        return pd.DataFrame({"format": [a for a, _ in made], "turns": [b for _, b in made]})
+        return pd.DataFrame({"format": pd.Series([a for a, _ in made], dtype=object), "turns": [b for _, b in made]})
 
     return run(raw if isinstance(raw, Column) else F.col(raw))
 

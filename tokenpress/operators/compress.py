@@ -1,11 +1,15 @@
-"""Levels of word pruning. Light to Syntactic are one projection per document over its array of tokens; Statistical groups tokens
-by document, in one shuffle. Levels that drop every word of a text leave it empty, but never fail."""
+"""Levels of word pruning, each one projection per document: nothing is shuffled. Light, semantic and aggressive are expressions over
+the array of tokens; statistical and syntactic look at whole sentences, in Arrow batches. A level that drops every word of a text
+leaves it empty, but never fails."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
+from math import log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NUMBER, PUNCT, TOKEN, blank, is_number, is_punct, let, text_or_empty, token_count, word_tokens
@@ -116,29 +120,63 @@ def aggressive(tokens: Column) -> Column:
     return let(hard, lambda h: F.when((h == "") & F.exists(tokens, lambda t: ~t["punct"]), semantic(tokens)).otherwise(h))
 
 
-def _syntactic_one(text: str, iso3: str) -> str:
-    """One text at the syntactic level: it looks ahead and back over sentences, so it is a function of the whole text."""
-    import re
+class _Text:
+    """A text's tokens with what the levels ask of them, for those that look at whole sentences."""
+
+    def __init__(self, text: str, iso3: str):
+        import regex
+
+        self.lex = lex = catalogue().get(iso3) or catalogue()["eng"]
+        forms = {f: v for f, v in lex.forms.items() if f not in lex.adverbs}
+        self.stop, self.generic = lex.function_words, lex.generic_words()
+        self.tokens = tokens = regex.findall(TOKEN, text)
+        self.low = [t.lower() for t in tokens]
+        self.lemma = [forms.get(x, x) for x in self.low]
+        word, number = regex.compile(r"[\p{L}\p{N}\p{M}]").match, regex.compile(NUMBER).match
+        self.punct = [len(t) == 1 and not word(t) for t in tokens]
+        self.number = [bool(number(t)) for t in tokens]
+        self.sent, start, n = [], [], 0
+        for i, t in enumerate(tokens):
+            self.sent.append(n)
+            start.append(i == 0 or tokens[i - 1] in ENDERS)
+            n += t in ENDERS
+        self.sents = n + 1
+        negation = [x.startswith(tuple(lex.negations)) if lex.iso3 == "zho" else x in lex.negations for x in self.low]
+        upper = regex.compile(r"\p{Lu}").match
+        self.guard = [neg or (x in lex.names if lex.iso3 == "deu" else bool(upper(t)) and (not st or x in lex.names)) for t, x, st, neg in zip(tokens, self.low, start, negation)]
+
+
+def _statistical_one(text: str, iso3: str) -> str:
+    """One text at the statistical level."""
+    t = _Text(text, iso3)
+    words = [m if not (p or g or d) else None for m, p, g, d in zip(t.lemma, t.punct, t.guard, t.number)]
+    tf = Counter(w for w in words if w is not None)
+    df = Counter(w for w, _ in {(w, s) for w, s in zip(words, t.sent) if w is not None})
+    dull = {m for m, x in zip(t.lemma, t.low) if x in t.stop or m in t.stop or m in t.generic}
+    score = {w: 0.0 if w in dull else round(n * (1.0 if t.sents == 1 else log(t.sents / (1 + df[w])) + 1), 9) for w, n in tf.items()}
+    some = sorted(v for v in score.values() if v > 0)
+    if not some:
+        return " ".join(x for x, p, d in zip(t.tokens, t.punct, t.number) if not p and not d)
+    cut = some[len(some) // 2]
+    shown = [(g and not p) or (w is not None and score[w] > 0 and score[w] >= cut) for w, g, p in zip(words, t.guard, t.punct)]
+    full = {s for s, x in zip(t.sent, shown) if x}
+    best: dict[int, int] = {}
+    for i, w in enumerate(words):
+        if w is not None and t.sent[i] not in full and (t.sent[i] not in best or score[w] > score[words[best[t.sent[i]]]]):
+            best[t.sent[i]] = i
+    for i in best.values():
+        shown[i] = True
+    return " ".join(x if g else w for x, w, g, k in zip(t.tokens, words, t.guard, shown) if k)
 
-    import regex
 
-    lex = catalogue().get(iso3) or catalogue()["eng"]
-    forms = {f: v for f, v in lex.forms.items() if f not in lex.adverbs}
-    stop, generic, pattern = lex.function_words, lex.generic_words(), descriptive_pattern(lex.iso3)
+def _syntactic_one(text: str, iso3: str) -> str:
+    """One text at the syntactic level."""
+    t = _Text(text, iso3)
+    lex, tokens, low, lemma, punct, sent, guard, stop = t.lex, t.tokens, t.low, t.lemma, t.punct, t.sent, t.guard, t.stop
+    pattern = descriptive_pattern(lex.iso3)
     describes = re.compile(pattern) if pattern else None
-    tokens = regex.findall(TOKEN, text)
-    low = [t.lower() for t in tokens]
-    lemma = [forms.get(x, x) for x in low]
-    punct = [bool(regex.match(PUNCT, t)) for t in tokens]
-    sent, start, n = [], [], 0
-    for i, t in enumerate(tokens):
-        sent.append(n)
-        start.append(i == 0 or tokens[i - 1] in ENDERS)
-        n += t in ENDERS
-    negation = [x.startswith(tuple(lex.negations)) if lex.iso3 == "zho" else x in lex.negations for x in low]
-    guard = [neg or (x in lex.names if lex.iso3 == "deu" else t[:1].isupper() and (not st or x in lex.names)) for t, x, st, neg in zip(tokens, low, start, negation)]
-    stays = [not p and (g or not (regex.match(NUMBER, t) or x in stop or m in stop or m in generic or (describes and len(x) >= 4 and describes.match(x)) or len(m) <= 1))
-             for t, x, m, p, g in zip(tokens, low, lemma, punct, guard)]
+    stays = [not p and (g or not (d or x in stop or m in stop or m in t.generic or (describes and len(x) >= 4 and describes.match(x)) or len(m) <= 1))
+             for x, m, p, g, d in zip(low, lemma, punct, guard, t.number)]
     cut = [False] * len(tokens)
     begin = 0
     for i in range(len(tokens) + 1):
@@ -154,26 +192,36 @@ def _syntactic_one(text: str, iso3: str) -> str:
         after = i + 1 < len(tokens) and stays[i + 1] and not cut[i + 1]
         shown[i] = not punct[i] and not cut[i] and (stays[i] or (low[i] in stop and after))
     full = {sent[i] for i in range(len(tokens)) if shown[i]}
-    for i, t in enumerate(tokens):
+    for i, x in enumerate(tokens):
         if not shown[i] and sent[i] not in full and not punct[i]:
             shown[i] = True
             full.add(sent[i])
         if shown[i]:
-            out.append(t if low[i] in stop or guard[i] or lemma[i] == low[i] else lemma[i])
+            out.append(x if low[i] in stop or guard[i] or lemma[i] == low[i] else lemma[i])
     return " ".join(out)
 
 
-def syntactic(text: Column, iso3: Column) -> Column:
-    """The aggressive rules, but a function word stays before a word that stays; of verbs that only glue joins, the last one and what
-    follows; a sentence of which nothing would stay keeps its first word. Arrow batches: it is sequential within a text."""
-
+def _by_text(one) -> Callable[[Column, Column], Column]:
     @F.pandas_udf("string")
     def run(texts, languages):
         import pandas as pd
 
-        return pd.Series([_syntactic_one(t or "", k) for t, k in zip(texts, languages)])
+        return pd.Series([one(t, k) if t and t.strip() else "" for t, k in zip(texts, languages)], dtype=object)
 
-    return run(text_or_empty(text), iso3)
+    return lambda text, iso3: run(text_or_empty(text), iso3)
+
+
+def syntactic(text: Column, iso3: Column) -> Column:
+    """The aggressive rules, but a function word stays before a word that stays; of verbs that only glue joins, the last one and what
+    follows; a sentence of which nothing would stay keeps its first word. Sequential within a text, so in Arrow batches."""
+    return _by_text(_syntactic_one)(text, iso3)
+
+
+def statistical(text: Column, iso3: Column) -> Column:
+    """Words of a TF-IDF score, over the sentences of the text, at or above the upper median of the positive scores of its distinct words;
+    each sentence keeps its best word. All of it is within a text: in Arrow batches nothing is shuffled, where rows of tokens
+    would be, with a dozen window passes."""
+    return _by_text(_statistical_one)(text, iso3)
 
 
 def custom(tokens: Column, keep_only: tuple[str, ...] = (), remove: tuple[str, ...] = (), predicate: Callable[[Column], Column] | None = None) -> Column:
@@ -198,40 +246,6 @@ def category(t: Column) -> Column:
     return F.when(t["punct"], "PUNCT").when(t["stop"], "FUNC").when(t["number"], "NUM").when(t["text"].rlike(r"^\p{Lu}.") , "PROPN").otherwise("CONTENT")
 
 
-def statistical(docs: DataFrame, key: str = "doc_id", text: str = "text", iso3: str | None = None) -> DataFrame:
-    """Keeps words of a TF-IDF score, over the sentences of the text, at or above the upper median of the positive scores of its
-    distinct words; each sentence keeps its best word. Returns key and compressed.
-
-    key must name the row. One shuffle by key serves the aggregation, the windows and the text put together again."""
-    d = with_tokens(docs.select(key, text, *([iso3] if iso3 else [])), text, iso3)
-    tok = d.select(key, F.posexplode("tokens").alias("pos", "t")).select(key, "pos", "t.*")
-    doc, before = Window.partitionBy(key), Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    tok = tok.withColumn("sent", F.coalesce(F.sum(F.col("ender").cast("int")).over(before), F.lit(0)))
-    tok = tok.withColumn("sents", (F.sum(F.col("ender").cast("int")).over(doc) + 1).cast("double"))
-    tok = tok.withColumn("word", F.when(~F.col("punct") & ~F.col("protected") & ~F.col("number"), F.col("lemma")))
-    by_word = Window.partitionBy(key, "word")
-    new = F.col("pos") == F.min("pos").over(Window.partitionBy(key, "word", "sent"))
-    tok = tok.withColumn("new", new.cast("int")).withColumn("tf", F.count("word").over(by_word)).withColumn("df", F.sum("new").over(by_word))
-    idf = F.when(F.col("sents") == 1, 1.0).otherwise(F.log(F.col("sents") / (1 + F.col("df"))) + 1)
-    dull = F.col("stop_lemma") | F.col("generic")
-    tok = tok.withColumn("score", F.when(F.col("word").isNotNull(), F.when(dull, 0.0).otherwise(F.round(F.col("tf") * idf, 9))))
-    # The upper median of the positive scores of distinct words, each at its first place.
-    lead = (F.col("pos") == F.min("pos").over(by_word)) & (F.col("score") > 0)
-    tok = tok.withColumn("lead", F.coalesce(lead, F.lit(False)))
-    tok = tok.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col("lead").desc(), "score", "pos"))).withColumn("n", F.sum(F.col("lead").cast("int")).over(doc))
-    tok = tok.withColumn("cut", F.max(F.when(F.col("lead") & (F.col("rank") == F.floor(F.col("n") / 2) + 1), F.col("score"))).over(doc)).withColumn("some", F.max("score").over(doc) > 0)
-    keep = F.col("protected") & ~F.col("punct") | ((F.col("score") > 0) & (F.col("score") >= F.col("cut")))
-    tok = tok.withColumn("keep", F.coalesce(keep, F.lit(False)))
-    in_sent = Window.partitionBy(key, "sent")
-    best = F.row_number().over(in_sent.orderBy(F.col("score").desc_nulls_last(), "pos")) == 1
-    floor = ~F.max("keep").over(in_sent) & best & F.col("score").isNotNull()
-    some = F.coalesce("some", F.lit(False))
-    tok = tok.withColumn("shown", F.when(some, F.col("keep") | floor).otherwise(~F.col("punct") & ~F.col("number")))
-    word = F.when(some & ~F.col("protected"), F.col("word")).otherwise(F.col("text"))
-    out = tok.filter("shown").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))), lambda x: x["w"]), " ").alias("compressed"))
-    return docs.select(key).join(out, key, "left").select(key, F.coalesce("compressed", F.lit("")).alias("compressed"))
-
-
 _PER_ROW = {"semantic": semantic, "aggressive": aggressive}
 
 
@@ -250,14 +264,11 @@ def compress(docs: DataFrame, level: str = "semantic", key: str = "doc_id", text
     from a column to its number of tokens."""
     if level not in LEVELS:
         raise ValueError(f"no level {level}")
-    if level == "statistical":
+    if level in ("statistical", "syntactic"):
         d = detect(docs, text) if not iso3 else docs.withColumn("iso3", F.col(iso3))
-        d = d.select(key, "iso3", text).join(statistical(d.select(key, text, "iso3"), key, text, "iso3"), key)
+        d = d.withColumn("compressed", (statistical if level == "statistical" else syntactic)(F.col(text), F.col("iso3")))
     elif level == "none":
         d = (detect(docs, text) if not iso3 else docs.withColumn("iso3", F.col(iso3))).withColumn("compressed", text_or_empty(text))
-    elif level == "syntactic":
-        d = detect(docs, text) if not iso3 else docs.withColumn("iso3", F.col(iso3))
-        d = d.withColumn("compressed", syntactic(F.col(text), F.col("iso3")))
     else:
         d = with_compressed(docs, level, text, iso3)
     count = (lambda c: F.size(F.filter(F.split(text_or_empty(c), " "), lambda x: x != "")).cast("bigint")) if level == "none" else counter

@@ -387,7 +387,8 @@ def crush(raw: Column | str, query: str = "", most: int = 15) -> Column:
     def run(s):
         import pandas as pd
 
-        return pd.DataFrame([crush_array(x or "", query, most) for x in s]).reindex(columns=["strategy", "text", "kept", "dropped", "hash", "aside"]).astype({"kept": "Int32", "dropped": "Int32"})
+        rows = [crush_array(x or "", query, most) for x in s]
+        return pd.DataFrame({k: pd.Series([r.get(k) for r in rows], dtype="Int32" if k in ("kept", "dropped") else object) for k in ("strategy", "text", "kept", "dropped", "hash", "aside")})
 
     return run(raw if isinstance(raw, Column) else F.col(raw))
 
@@ -429,7 +430,9 @@ def shrink_tables(text: Column | str, query: str = "", most: int = 30) -> Column
     def run(s):
         import pandas as pd
 
-        return pd.DataFrame([shrink_table(x or "", query, most) for x in s]).astype({"columns": "Int32", "rows": "Int32"})
+        rows = [shrink_table(x or "", query, most) for x in s]
+        kinds = {"text": object, "columns": "Int32", "rows": "Int32", "changed": bool}
+        return pd.DataFrame({k: pd.Series([r[k] for r in rows], dtype=t) for k, t in kinds.items()})
 
     return run(text if isinstance(text, Column) else F.col(text))
 

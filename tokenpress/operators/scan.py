@@ -172,7 +172,8 @@ def commits(diffs: DataFrame, key: str = "diff_id", text: str = "diff") -> DataF
     def run(texts):
         import pandas as pd
 
-        return pd.DataFrame([suggest_commit(t or "") for t in texts], columns=["type", "scope", "subject", "message"])
+        rows = [suggest_commit(t or "") for t in texts]
+        return pd.DataFrame({k: pd.Series([r[k] for r in rows], dtype=object) for k in ("type", "scope", "subject", "message")})
 
     return diffs.select(key, run(text).alias("c")).select(key, "c.*")
 

@@ -175,7 +175,7 @@ def json_rows_csv(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
-    a AS (SELECT *, i < -(-n * 3 // 10) OR i >= n + (-n * 15 // 100) AS anchor FROM (SELECT * FROM r WHERE n > 15)),
+    a AS (SELECT *, i < (n * 3 + 9) // 10 OR i >= n - (n * 15 + 99) // 100 AS anchor FROM (SELECT * FROM r WHERE n > 15)),
     f AS (SELECT *, sum(anchor::INT) OVER (PARTITION BY o_custkey) AS anchors, sum((NOT anchor)::INT) OVER (PARTITION BY o_custkey ORDER BY i) AS fill FROM a)
     SELECT o_custkey, o_orderkey FROM f WHERE anchor OR fill <= 15 - anchors""")
 def json_row_drop(spark, sf_dir):

@@ -98,7 +98,7 @@ QUERIES["syntactic_filter"] = _level("syntactic")
     o AS (SELECT doc_id, string_agg(CASE WHEN any_ AND NOT prot THEN word ELSE x END, ' ' ORDER BY i) AS compressed FROM f WHERE CASE WHEN any_ THEN keep OR floor ELSE NOT punct AND NOT num END GROUP BY doc_id)
     SELECT doc_id, coalesce(compressed, '') AS compressed FROM documents LEFT JOIN o USING (doc_id)""")
 def statistical_filter(spark, sf_dir):
-    return compress.statistical(docs(spark, sf_dir).select("doc_id", "text"))
+    return compress.compress(docs(spark, sf_dir), "statistical").select("doc_id", "compressed")
 
 
 @query(f"""WITH {q.tokens()},

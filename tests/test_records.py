@@ -1,0 +1,209 @@
+"""Routing, scans, ranking, chats, sources and streaming."""
+
+import json
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tokenpress.operators import chat, rank, route, scan
+from tokenpress.sources import files, stores
+
+DIFF = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,9 +1,9 @@\n" + "\n".join(f" c{i}" for i in range(6)) + "\n-old\n+new todo\n" + "\n".join(f" d{i}" for i in range(6))
+LOG = "\n".join(f"2024-01-01 INFO step {i}" for i in range(30)) + "\nERROR boom exception\n  at Foo.Bar()\n  at Foo.Baz()"
+
+
+@pytest.mark.parametrize("t, kind", [
+    ('[{"a": 1}, {"a": 2}]', "JsonArray"), ('{"a": 1}', "JsonObject"), ("[not json]", "PlainText"), (DIFF, "GitDiff"), ("<html><body><div>x</div></body></html>", "Html"), (LOG, "Log"),
+    ("\n".join(f"src/a.py:{i}:x" for i in range(6)), "SearchResults"), ("| a | b |\n|---|---|\n| 1 | 2 |", "Tabular"), ("a,b\n1,2\n3,4", "Tabular"), ("class A {\n public int x() {\n return 1; }\n}", "Code"), ("Just words here", "PlainText"), ("", "PlainText"), (None, "PlainText"),
+])
+def test_content_type(spark, t, kind):
+    assert spark.createDataFrame([(t,)], "t string").select(route.content_type("t").alias("k")).first().k == kind
+
+
+def test_routes_never_grow(spark):
+    texts = ['[{"name":"a","value":1},{"name":"b","value":2},{"name":"c","value":3},{"name":"d","value":4}]', DIFF, LOG, "<html><body><div><p>Some text &amp; more</p></div></body></html>", "Plain words of the text that are here", "", None, "x,y\n1,2\n3,4"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in route.route(d).collect()}
+    assert len(got) == len(texts) and all(r.after <= r.before for r in got.values())
+    assert got[0].strategy.startswith("json:") and got[3].strategy == "html+prose" and "<" not in got[3].routed
+
+
+def lines(spark, rows):
+    return spark.createDataFrame([(1, i, x) for i, x in enumerate(rows)], "log_id int, no int, line string")
+
+
+def test_fold(spark):
+    fold = lambda rows: [r.line for r in sorted(route.fold_lines(lines(spark, rows)).collect(), key=lambda r: r.no)]
+    assert fold([f"job {10_000 + i} done" for i in range(8)]) == ["job 10000 done  (repeated 8x)"]
+    assert fold(["job 1", "job 2", "job 3"]) == ["job 1", "job 2", "job 3"] and fold(["a", "a"]) == ["a", "a"]
+    rows = [f"user {n} logged in from 10.0.0.{i} ok" for i, n in enumerate(("ann", "bob", "eve"))] + ["something else entirely happened"]
+    assert len(route.fold_fuzzy(rows, distance=30)) < 4 and route.fold_fuzzy(rows, distance=0) == rows
+
+
+def test_log_selection(spark):
+    rows = [f"INFO step {i}" for i in range(200)]
+    rows[100] = "ERROR boom"
+    got = {r.no for r in route.select_lines(lines(spark, rows), most=20).collect()}
+    assert {0, 199, 98, 99, 100, 101, 102} <= got and len(got) < 40
+    out = route.render_lines(route.select_lines(lines(spark, rows), most=20)).first().text
+    assert "... [lines omitted] ..." in out and "ERROR boom" in out
+
+
+def test_diff(spark):
+    d = spark.createDataFrame([(1, DIFF), (2, "")], "diff_id long, diff string")
+    got = {r.diff_id: r for r in route.trim_diffs(d).collect()}
+    assert (got[1].additions, got[1].deletions) == (1, 1) and "-old" in got[1].trimmed and " c0" not in got[1].trimmed and " c5" in got[1].trimmed
+    found = scan.review(d).collect()
+    assert [(r.severity, r.rule, r.file) for r in found] == [("info", "todo", "x.py")]
+    assert scan.suggest_commit("")["message"] == "chore: empty diff" and len(scan.suggest_commit(DIFF)["message"]) <= 50
+
+
+def test_crush():
+    rows = [{"id": i, "name": f"n{i}"} for i in range(12)]
+    out = route.crush_array(json.dumps(rows))
+    assert out["strategy"] == "markdown" and len(out["text"]) < len(json.dumps(rows))
+    mixed = [{f"k{i % 7}": i, "x": "needle" if i == 20 else "hay"} for i in range(40)]
+    out = route.crush_array(json.dumps(mixed), "needle", 25)
+    kept, dropped = json.loads(out["text"].split("\n<<ccr:")[0]), json.loads(out["aside"])
+    assert out["strategy"] == "sample" and len(kept) + len(dropped) == 40 and any(r["x"] == "needle" for r in kept) and out["hash"] in out["text"]
+    assert route.crush_array("nope")["text"] == "nope" and route.crush_array("[]")["strategy"] == "none"
+
+
+def test_tables_code_html(spark):
+    t = "| a | b | c |\n|---|---|---|\n" + "\n".join(f"| {i} |  | same text here |" for i in range(9))
+    out = route.shrink_table(t)
+    assert out["changed"] and out["columns"] == 1
+    one = lambda e: spark.createDataFrame([("x",)], "z string").select(e.alias("r")).first().r
+    assert "note" not in one(route.strip_code(F.lit("int a; // note\n/* note */\nint b;"))) and one(route.strip_code(F.lit("x = 1  # note\ndef f():\n    pass"))).startswith("x = 1")
+    body = "public class A {\n  void M() {\n    " + "doThis(); " * 10 + "\n  }\n}"
+    sk = route.skeleton_text(body)
+    assert "void M() { /* ... */ }" in sk and sk.count("{") == sk.count("}")
+    assert "..." in route.skeleton_text("def f():\n    a = 1\n    b = 2\n    return a\n")
+    assert one(route.html_text(F.lit("<style>p{}</style><script>x</script><h2>T</h2><p>a &eacute; b</p>"))) == "## T\n\na é b"
+    assert one(route.markdown_text(F.lit('# Head\n- **bold** [l](u) ![i](v)\n```json\n{"a": 1}\n```\ntext {"k": {"z": 1}} end'))).split() == ["Head", "bold", "l", "text", "end"]
+
+
+@pytest.mark.parametrize("t, level", [("hello there", "Normal"), ("a SQL injection was found", "Critical"), ("rm -rf / now", "Critical"), ("never do that", "Warning"), ("dossier and thermos", "Normal"), ("", "Normal"), (None, "Normal")])
+def test_safety(spark, t, level):
+    assert scan.safety_of(spark.createDataFrame([(t,)], "text string")).first().safety.level == level
+
+
+def test_waste_and_volatile(spark):
+    d = spark.createDataFrame([("clean text",), ("<div><p>x</p></div>" + "    " * 3 + "QUJD" * 20,), ("id 123e4567-e89b-12d3-a456-426614174000 at 2024-01-01T10:00:00Z " + "a" * 40,)], "t string")
+    got = d.select(scan.waste("t").alias("w"), scan.volatile("t").alias("v")).collect()
+    assert got[0].w.total == 0 and got[0].v == [] and got[1].w.html > 0 and got[1].w.base64 > 0 and got[1].w.blanks > 0
+    assert [x.label for x in got[2].v] == ["uuid", "iso8601", "hex"]
+
+
+def test_message_duplicates(spark):
+    long = "the same long message that is repeated word for word later on"
+    d = spark.createDataFrame([(1, i, long if i in (0, 1, 6) else f"turn {i}") for i in range(8)], "conv_id int, turn int, text string")
+    got = {r.turn: r for r in scan.message_duplicates(d).collect()}
+    assert got[6].duplicate_of == 0 and got[6].new_text == "[duplicate of message #0]" and got[1].duplicate_of is None and got[6].wasted == len(long) // 4
+
+
+DOCS = [(0, "the car is red"), (1, "a fast car and a car race"), (2, "engine of the race motor"), (3, "cooking with garlic"), (4, "garden flowers")]
+
+
+def test_retrieval(spark):
+    d = spark.createDataFrame(DOCS, "doc_id long, text string")
+    got = [r.doc_id for r in rank.retrieve(d, "car").collect()]
+    want = rank.bm25_scores([t.split() for _, t in DOCS], {"car": 1.0})
+    assert got == sorted((i for i in range(5) if want[i] > 0), key=lambda i: -want[i])
+    assert {r.doc_id for r in rank.retrieve_rm3(d, "car").collect()} >= {0, 1, 2}
+    assert rank.retrieve(d, "").count() == 0 and rank.retrieve(d, "zebra").count() == 0 and rank.retrieve_rm3(d, "zebra").count() == 0
+
+
+FINANCE = "The bank raised its rates today. Bank rates affect the money market. The money market follows the bank. Investors watch the market rates. Bank money moves markets. Market investors like bank rates. Rates and money rule the bank. The market needs money."
+WEATHER = "Rain fell over the hills. Hills of clouds bring rain. Storm clouds and wind came. The wind drove the rain. Clouds over hills mean storms. Wind and storm shook trees. Rain and wind again came. Storm rain filled the hills."
+
+
+def test_summaries():
+    both = FINANCE + " " + WEATHER
+    parts = rank.segments(rank.split_sentences(both))
+    assert parts[0][0] == 0 and parts[-1][1] == 16 and all(a[1] == b[0] for a, b in zip(parts, parts[1:])) and len(parts) > 1
+    for make in (rank.textrank, rank.tfidf_summary, rank.topic_summary):
+        out = make(both, 4)
+        assert 0 < len(out) < len(both) and all(s in both for s in rank.split_sentences(out))
+        assert make("One. Two.", 5) == "One. Two."
+    out = rank.topic_summary(both, 4)
+    assert any(s in out for s in rank.split_sentences(FINANCE)) and any(s in out for s in rank.split_sentences(WEATHER))
+    assert rank.apportion([3, 3, 4], 5) in ([2, 1, 2], [1, 2, 2]) and sum(rank.apportion([7, 1, 1], 4)) == 4
+    assert rank.tfidf_summary(both, ratio=1.0) == both
+
+
+@pytest.mark.parametrize("raw, name, roles", [
+    ('[{"role":"system","content":"a"},{"role":"user","content":[{"type":"text","text":"b"},{"type":"image"}]}]', "openai-json", ["System", "User"]),
+    ('{"messages":[{"role":"assistant","content":null,"tool_calls":[{"function":{"name":"f","arguments":"{}"}}]}]}', "openai-json", ["Assistant"]),
+    ("<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo", "chatml", ["User", "Assistant"]), ("<start_of_turn>model\nyo<end_of_turn>", "gemma", ["Assistant"]),
+    ("[INST] <<SYS>>s<</SYS>> q [/INST] a [INST] q2 [/INST] a2", "llama-inst", ["System", "User", "Assistant", "User", "Assistant"]),
+    ("Utente: ciao\nAssistente: salve\naltro", "transcript", ["User", "Assistant"]), ("just prose: nothing", "plain", ["Unknown"]), ("", "plain", []),
+])
+def test_parse(raw, name, roles):
+    got = chat.parse_conversation(raw)
+    assert got[0] == name and [t["role"] for t in got[1]] == roles
+    if "tool_calls" in raw:
+        assert got[1][0]["content"] == "[tool_call: f({})]"
+
+
+def test_compaction(spark):
+    talk = FINANCE + " " + WEATHER
+    turns = [(1, i, "user" if i % 2 else "assistant", talk if i < 6 else f"short turn {i}") for i in range(8)] + [(1, 9, "user", "Run rm -rf / carefully, there was a data breach.")] + [(2, 0, None, None)]
+    d = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.compact(d, chat.with_options("default", max_tokens=250, deduplicate=True)).collect()}
+    assert got[1].compacted_tokens <= 250 and got[1].within_budget and "data breach" in got[1].text and got[1].n_summarized + got[1].n_dropped > 0 and got[2].text == ""
+    assert chat.compact(d, chat.with_options("faithful", max_tokens=1)).filter("not within_budget").count() == 1
+    notes = chat.memory_notes(d.filter("turn = 0").select("conv_id", "text"))
+    assert notes.count() == 2 and chat.recall(notes, "bank rates").first().conv_id == 1
+
+
+def test_stores(spark, tmp_path):
+    store = stores.ConversationStore(spark, str(tmp_path / "c"))
+    turns = spark.createDataFrame([("a/b", 0, "user", "hi"), ("a/b", 1, "assistant", "yo"), ("c", 0, "user", "x")], "session_id string, turn int, role string, text string")
+    store.save(turns)
+    store.save(turns.filter("session_id = 'c'"))
+    assert [(r.turn, r.role, r.content) for r in store.load("a/b").orderBy("turn").collect()] == [(0, "user", "hi"), (1, "assistant", "yo")] and store.sessions().count() == 2
+    now = datetime(2024, 1, 1)
+    side = stores.put(None, spark.createDataFrame([("h", "old"), ("g", "x")], "hash string, value string"), now, timedelta(minutes=5))
+    side = stores.put(side, spark.createDataFrame([("h", "new")], "hash string, value string"), now + timedelta(minutes=3), timedelta(minutes=5))
+    asked = spark.createDataFrame([("h",), ("g",)], "hash string")
+    assert [tuple(r) for r in stores.get(side, asked, now + timedelta(minutes=6)).collect()] == [("h", "new")]
+    writes = spark.createDataFrame([("k", "1", "a", now), ("k", "2", "b", now + timedelta(minutes=1)), ("z", "0", "a", now - timedelta(hours=2))], "key string, content string, agent string, at timestamp")
+    assert [(r.key, r.content) for r in stores.latest(writes, now + timedelta(minutes=2)).collect()] == [("k", "2")]
+    sums = stores.savings(spark.createDataFrame([("a", 10, 4, None), ("a", 0, 0, None), ("b", 5, 9, None), ("b", 7, 1, "bad")], "k string, original_tokens long, compressed_tokens long, error string"), "k")
+    assert {r.k: (r.n, r.saved_tokens) for r in sums.collect()} == {"a": (1, 6), "b": (1, 0), None: (2, 6)}
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "p" / "bin").mkdir(parents=True)
+    for name, body in {"readme.md": "hello", "a.py": "x = 1", "bin/b.py": "no", "requirements.txt": "numpy==2.0\npandas\n", "x.csproj": '<PackageReference Include="P" Version="1.2" /><ProjectReference Include="..\\q.csproj" />', "package.json": '{"dependencies": {"left": "^1.0.0"}}'}.items():
+        (tmp_path / "p" / name).write_text(body)
+    path = str(tmp_path / "p")
+    assert {r.name for r in files.read_context(spark, path).collect()} == {"readme.md"} and files.read_sources(spark, path, 50).count() == 2
+    project = files.read_project(spark, path)
+    assert not any("/bin/" in r.path for r in project.collect())
+    assert {(r.kind, r.name, r.version) for r in files.dependencies(project).collect()} == {("package", "numpy", "2.0"), ("package", "pandas", ""), ("package", "P", "1.2"), ("project", "..\\q.csproj", ""), ("package", "left", "^1.0.0")}
+    assert "## " in files.bundle(project).first().markdown and "numpy" in files.wiki(project)
+    (tmp_path / "l.yaml").write_text("iso3: eng\nname: English\nfunction_words:\n  - the\n  - 'of'\nlemmas:\n  cars: car\nverbs:\n  go: [goes, went]\nproper_nouns:\n  - Rome\n")
+    got = {(r.section, r.form, r.lemma) for r in files.read_lexicon(spark, str(tmp_path / "l.yaml")).collect()}
+    assert got == {("function_words", "the", None), ("function_words", "of", None), ("lemmas", "cars", "car"), ("verbs", "goes", "go"), ("verbs", "went", "go"), ("proper_nouns", "rome", None)}
+    (tmp_path / "t.conllu").write_text("# c\n1-2\tdu\t_\t_\n1\tCars\tcar\tNOUN\n2\tcars\tcar\tNOUN\n3\tcars\tcars\tVERB\n4\tcars\tcar\tNOUN\n5.1\tx\tx\tX\n\n")
+    r = files.frequent_lemmas(files.read_conllu(spark, str(tmp_path / "t.conllu"))).first()
+    assert (r.form, r.lemma, r.upos, r.is_name) == ("cars", "car", "NOUN", False)
+
+
+def test_streams(spark, sf_dir):
+    from tokenpress.plans.catalogue import QUERIES
+
+    got = QUERIES["stream_context_window"](spark, sf_dir).collect()
+    assert got and all(r.within_budget or r.n_turns <= 5 for r in got)  # the last four and the system's are never dropped
+    want = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count()
+    assert QUERIES["stream_dedup"](spark, sf_dir).count() == want == len(got)
+
+
+def test_shaper(spark):
+    d = spark.createDataFrame([("do it",)], "p string").select(scan.shape(F.col("p"), 3).alias("a"))
+    d = d.select("a", scan.shape(F.col("a"), 3).alias("b"), scan.unshape(F.col("a")).alias("c"), scan.shape(F.col("a"), 0).alias("z"))
+    r = d.first()
+    assert r.a == r.b == r.z and r.c == "do it"

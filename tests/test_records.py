@@ -197,7 +197,9 @@ def test_streams(spark, sf_dir):
     from tokenpress.plans.catalogue import QUERIES
 
     got = QUERIES["stream_context_window"](spark, sf_dir).collect()
-    assert got and all(r.within_budget or r.n_turns <= 5 for r in got)  # the last four and the system's are never dropped
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    systems = {r.conv_id: r.n for r in turns.groupBy("conv_id").agg(F.sum((F.col("role") == "system").cast("int")).alias("n")).collect()}
+    assert got and all(r.within_budget or r.n_turns <= 4 + systems[r.conv_id] for r in got)  # the last four and the system's stay
     want = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count()
     assert QUERIES["stream_dedup"](spark, sf_dir).count() == want == len(got)
 
@@ -207,3 +209,24 @@ def test_shaper(spark):
     d = d.select("a", scan.shape(F.col("a"), 3).alias("b"), scan.unshape(F.col("a")).alias("c"), scan.shape(F.col("a"), 0).alias("z"))
     r = d.first()
     assert r.a == r.b == r.z and r.c == "do it"
+
+
+def test_sql_functions(spark):
+    from tokenpress.functions import sql, text
+    from tokenpress.operators.chat import count_tokens
+
+    assert len(sql.register(spark)) == 8
+    t = "The  Cat     sat. It ran internationally!"
+    r = spark.sql(f"SELECT tp_token_count('{t}') AS n, tp_fingerprint(' {t} ') AS f, tp_terms('{t}') AS w, tp_simhash('{t}') AS h, tp_sentences('{t}', 'eng') AS s, tp_textrank('{t}', 1) AS r, tp_iso3('de') AS l").first()
+    assert r.n == count_tokens(t) and r.w[:2] == ["the", "cat"] and len(r.s) == 2 and r.r in t and r.l == "deu"
+    assert r.f == spark.createDataFrame([(t,)], "t string").select(text.fingerprint("t").alias("f")).first().f
+    got = spark.sql("SELECT * FROM tp_parse_conversation('User: hi\nAssistant: yo')").collect()
+    assert [(x.format, x.role, x.content) for x in got] == [("transcript", "User", "hi"), ("transcript", "Assistant", "yo")]
+
+
+def test_focus_and_context(spark, tmp_path):
+    t = "about cats\n\nabout the report on cars\n\nnothing\n\ncars again"
+    d = spark.createDataFrame([(t,), ("short",), (None,)], "t string").select(rank.focus("t", "car report", 2).alias("x"))
+    assert [r.x for r in d.collect()] == ["about the report on cars\n\ncars again", "short", ""]
+    (tmp_path / "notes.md").write_text("the report is about the cars")
+    assert "report car" in files.condensed_context(spark, str(tmp_path)).first().markdown

@@ -274,3 +274,12 @@ def keywords(docs: DataFrame, key: str, text: str = "text", k: int = 10, iso3: s
     g = w.groupBy(key, "low").agg(F.count(F.lit(1)).alias("n"), F.min_by("w", "pos").alias("word"), F.max(F.col("w").rlike(r"^\p{Lu}").cast("int")).alias("cap"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("cap").desc(), F.col("n").desc(), "low"))
     return g.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k).select(key, "rank", "word", "n")
+
+
+def focus(text: Column | str, query: str, k: int = 3, iso3: str = "eng") -> Column:
+    """The k paragraphs that share most terms with the query, in their order; a text of fewer stays as it is. Ties go to earlier ones."""
+    from ..functions.text import paragraphs, text_or_empty
+
+    scored = F.transform(paragraphs(text), lambda p, i: F.struct((-relevance(p, query, iso3)).alias("s"), i.alias("i"), p.alias("p")))
+    best = F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, k), lambda x: F.struct(x["i"], x["p"])))
+    return let(paragraphs(text), lambda ps: F.when(F.size(ps) <= k, text_or_empty(text)).otherwise(F.array_join(F.transform(best, lambda x: x["p"]), "\n\n")))

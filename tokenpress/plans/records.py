@@ -359,13 +359,16 @@ def events_session(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, make, mode: str, name: str) -> DataFrame:
-    """Runs a stream over conversations to its end and returns what it wrote."""
+    """Runs a stream over conversations to its end and returns what it wrote, in the cluster's shared folder."""
     import tempfile
+    import uuid
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source = docs(spark, sf_dir, "conversations")
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{base}/streams/{name}-{F.lit(0)._jc.hashCode()}" if base else tempfile.mkdtemp(prefix=f"{name}-")
+    folder = f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"{name}-")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     source.write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema(source.schema).parquet(f"{folder}/in")
     made = make(stream)

@@ -105,3 +105,12 @@ def wiki(files: DataFrame, title: str = "Project", most_chars: int = 5000) -> st
     out = [f"---\ntitle: {title}\nfiles: {len(rows)}\n---", "## Dependencies", *(f"- {d.kind}: {d.name} {d.version}".rstrip() for d in deps), "## Tree", *(f"- {r.path}" for r in rows), "## Contents"]
     out += [f"### {r.path}\n```\n{r.content[:most_chars]}\n```" for r in rows]
     return "\n".join([*out, f"## Summary\n{len(rows)} files, {sum(r.bytes for r in rows)} bytes"]) + "\n"
+
+
+def condensed_context(spark: SparkSession, path: str, level: str = "aggressive") -> DataFrame:
+    """Context files of a folder, each at a level of pruning, as one Markdown bundle."""
+    from ..operators.compress import compress
+
+    d = read_context(spark, path)
+    done = compress(d, level, "path", "content").select("path", F.col("compressed").alias("content"))
+    return bundle(done, "Context")

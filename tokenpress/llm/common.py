@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 LAST = (1 << 63) - 1
+#: Rows that a function of arrow_map gets at once, and bytes of a batch between the JVM and Python, both ends of which hold it.
+SLICE, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,30 +68,59 @@ def doc_id(col: str = "did") -> F.Column:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
-    """mapInArrow with a function from a batch to columns, given as a dict of arrays or lists; an iterator of such dicts makes several batches."""
+    """mapInArrow with a function from a batch to columns, given as a dict of arrays or lists; an iterator of such dicts makes several batches.
+    The function gets slices of SLICE rows, so that what it makes of a batch of long texts stays small."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            made = fn(batch)
-            yield from [made] if isinstance(made, dict) else made
+            for i in range(0, batch.num_rows, SLICE):
+                made = fn(batch.slice(i, SLICE))
+                yield from [made] if isinstance(made, dict) else made
 
     return arrow_map_all(df, each, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch, if it is higher: its other limit, rows, bounds nothing where texts are
+    long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def arrow_map_all(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """arrow_map with a function from all batches of a partition."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     out = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in fn(batches):
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in out], schema=out)
+        try:
+            for cols in fn(batches):
+                yield as_batch(cols)
+        finally:
+            give_back()
+
+    def as_batch(cols: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks, and executors count what they hold."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null gives no bytes."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST, arrow_map, byte_texts, gram_hashes, parts, word_bounds, word_hashes
+from .common import LAST, SLICE, arrow_map, byte_texts, give_back, gram_hashes, parts, small_batches, word_bounds, word_hashes
 
 SHINGLE, CONTAINED = 5, 0.8
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Most shingles of test items that are sent to the workers at once; more items make more passes over the documents.
 BLOCK = 1 << 20
 
@@ -128,15 +128,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, contained: fl
     """The documents that hold no test item, all columns as they were. Narrow: each block of items filters in one pass."""
     from pyspark.sql.functions import pandas_udf
 
+    small_batches(docs.sparkSession)
     for block in blocks(benchmark, n, contained):
 
         @pandas_udf("boolean")
         def holds(text, block=block):
             import pandas as pd
 
-            raw, out = [t.encode() if t is not None else b"" for t in text], []
-            for i, j in parts([len(t) for t in raw], CHUNK):
-                out += [bool(x) for x in block.search(raw[i:j])]
+            out = []
+            for k in range(0, len(text), SLICE):
+                raw = [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in text[k : k + SLICE]]
+                for i, j in parts([len(t) for t in raw], CHUNK):
+                    out += [bool(x) for x in block.search(raw[i:j])]
+            give_back()
             return pd.Series(out, dtype=bool)
 
         docs = docs.filter(~holds("text"))

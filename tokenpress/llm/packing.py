@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_map, arrow_map_all, doc_id, keyed, mixed, parts
 
 LIMIT, END = 1024, 2
-CHUNK = 1 << 19
+CHUNK = 1 << 18
+#: Pieces that the tokenizer gets at once: what it returns for one takes a kilobyte.
+ENCODED = 2000
 #: Pieces that are packed together, by one task; a corpus has as many such blocks as it needs.
 BLOCK = 60_000
 #: Least-filled bins in a row that the local search fails to empty before it ends.
@@ -42,7 +44,7 @@ class Encoder:
     once, and the tokenizer sees each distinct piece; what ids a piece has is kept in a table by its 64-bit hash. Texts with
     special tokens or with characters on which splitting rules could differ go to the tokenizer as they are."""
 
-    SLOTS, POOL = 1 << 21, 1 << 25
+    SLOTS, POOL = 1 << 20, 1 << 22
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,8 +59,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.key = np.zeros(self.SLOTS, np.uint64)
-        self.at = np.zeros(self.SLOTS, np.int64)
-        self.size = np.zeros(self.SLOTS, np.int64)
+        self.at = np.zeros(self.SLOTS, np.int32)
+        self.size = np.zeros(self.SLOTS, np.int32)
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = 0
 
@@ -123,7 +125,10 @@ class Encoder:
             keys, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
             where = miss[first]
             strings = [cp[a:b].tobytes().decode("utf-32-le", "surrogatepass") if cp[a] != _END_MARK else "" for a, b in zip(begins[where].tolist(), stops[where].tolist())]
-            made = [e.ids if s else [END] for e, s in zip(self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strings)]
+            made = []
+            for i in range(0, len(strings), ENCODED):
+                some = strings[i : i + ENCODED]
+                made += [e.ids if s else [END] for e, s in zip(self.tokenizer.encode_batch_fast(some, add_special_tokens=False), some)]
             sizes = np.array([len(m) for m in made])
             flat = np.fromiter((x for m in made for x in m), np.uint32, sizes.sum())
             while self.used + len(flat) > len(self.pool):
@@ -238,14 +243,15 @@ def improve(lengths: list[int], bins: list[list[int]], limit: int = LIMIT, patie
     return [b for b in bins if b]
 
 
-def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
-    """did, piece, start, length, ids_crc32, ids: every document's ids with END behind them, in one piece, or if longer than the
-    limit in pieces of the limit, of which the first has what is over."""
+def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, keep_ids: bool = False) -> DataFrame:
+    """did, piece, start, length, ids_crc32, and with keep_ids the ids: every document's ids with END behind them, in one piece, or if
+    longer than the limit in pieces of the limit, of which the first has what is over."""
+    names = ("did", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         enc = encoder(tokenizer)
         dids, texts = batch["did"].to_pylist(), [t or "" for t in batch["text"].to_pylist()]
-        out = {k: [] for k in ("did", "piece", "start", "length", "ids_crc32", "ids")}
+        out = {k: [] for k in names}
         for did, ids in zip(dids, enc.ids(texts)):
             start, piece = 0, 0
             while start < len(ids):
@@ -259,7 +265,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
                 out = {k: [] for k in out}
         yield out
 
-    return arrow_map(keyed(docs).select("did", "text"), run, "did long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return arrow_map(keyed(docs).select("did", "text"), run, "did long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, keep_ids: bool = False, block: int = BLOCK) -> DataFrame:
@@ -272,8 +278,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, keep_ids: bool = F
     0.1 percent, and needs the memory of its lengths (with keep_ids, of its ids) alone.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    all_pieces = pieces(docs, tokenizer, limit)
-    all_pieces = scratch.save(all_pieces if keep_ids else all_pieces.drop("ids"), "pieces")
+    all_pieces = scratch.save(pieces(docs, tokenizer, limit, keep_ids), "pieces")
     n = max(1, -(-all_pieces.count() // block))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

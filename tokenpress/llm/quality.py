@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, byte_texts, parts, word_bounds, word_hashes
+from .common import SLICE, arrow_map, byte_texts, give_back, parts, small_batches, word_bounds, word_hashes
 from .langid import remainder
 
 #: Trusted positives and unlabelled rows that the classifier is fitted on, at most: the first by a hash of doc_id.
 POSITIVE_ROWS, UNLABELLED_ROWS = 4000, 8000
 THRESHOLD = 0.3
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 STEPS, RATE, DECAY, SLACK = 600, 0.05, 1e-4, 0.0
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _LINE, _STOP, _CALL, _SYMBOL, _OTHER = range(9)
@@ -178,11 +178,14 @@ def good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
     model = fit(docs, labels)
     if model is None:
         return docs
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(text):
         import pandas as pd
 
-        return pd.Series(model.scores([t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in text]))
+        out = [model.scores([t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in text[k : k + SLICE]]) for k in range(0, len(text), SLICE)]
+        give_back()
+        return pd.Series(np.concatenate(out) if out else [], dtype=float)
 
     return docs.filter(score("text") >= threshold)

@@ -166,8 +166,11 @@ def json_rows_markdown(spark, sf_dir):
     return d.filter("c.strategy = 'markdown'").select("o_custkey", "c.text")
 
 
-@query("""WITH p AS (SELECT p_brand, p_partkey, p_name, p_type, p_size, p_retailprice, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
-    SELECT p_brand, '#schema: k,name,size' || chr(10) || string_agg(p_partkey || ',' || CASE WHEN regexp_matches(p_name, '[",\n]') THEN '"' || replace(p_name, '"', '""') || '"' ELSE p_name END || ',' || p_size, chr(10) ORDER BY p_partkey) AS text FROM p WHERE n > 50 GROUP BY p_brand""")
+@query("""WITH p AS (SELECT p_brand, p_partkey AS k, p_name AS n, p_size AS z FROM part),
+    t AS (SELECT p_brand, count(*) AS c, '#schema: k,name,size' || chr(10) || string_agg(k || ',' || CASE WHEN regexp_matches(n, '[",\n]') THEN '"' || replace(n, '"', '""') || '"' ELSE n END || ',' || z, chr(10) ORDER BY k) AS csv,
+          '| k | name | size |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || k || ' | ' || n || ' | ' || z || ' |', chr(10) ORDER BY k) AS md,
+          '[' || string_agg('{"k":' || k || ',"name":"' || n || '","size":' || z || '}', ',' ORDER BY k) || ']' AS raw FROM p GROUP BY p_brand)
+    SELECT p_brand, csv AS text FROM t WHERE NOT (c <= 50 AND length(md) <= 0.85::DOUBLE * length(raw)) AND length(csv) <= 0.85::DOUBLE * length(raw)""")
 def json_rows_csv(spark, sf_dir):
     p = docs(spark, sf_dir, "part").select("p_brand", F.struct(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_size").alias("size")).alias("r"))
     d = p.groupBy("p_brand").agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("raw")).select("p_brand", route.crush("raw").alias("c"))

@@ -387,7 +387,7 @@ def test_secrets(spark):
 def test_contamination(spark, sf_dir, most, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK", most)
     monkeypatch.setattr(decontam.blocks, "__defaults__", (5, 0.8, most))
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").limit(12)
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     got = {(r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in decontam.contaminated(d, b).collect()}
     items = {r.item_id: decontam.shingles(r.text.encode(), 5) for r in b.collect()}
     want = set()

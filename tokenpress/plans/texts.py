@@ -12,10 +12,15 @@ from . import sqltools as q
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+TEXTS = ("documents", "pages")
 
 
 def docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of texts. One small file is one task's work, whatever it takes: rows of tables with fewer splits than there are cores are
+    spread once. Tables of a usual size have more, and stay as they are."""
+    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if name in TEXTS and d.rdd.getNumPartitions() < cores else d
 
 
 def query(sql: str | None = None):

@@ -230,3 +230,20 @@ def test_focus_and_context(spark, tmp_path):
     assert [r.x for r in d.collect()] == ["about the report on cars\n\ncars again", "short", ""]
     (tmp_path / "notes.md").write_text("the report is about the cars")
     assert "report car" in files.condensed_context(spark, str(tmp_path)).first().markdown
+
+
+def test_grep_reads_every_line(spark, sf_dir, tmp_path):
+    """Against the registered SQL, but with a row for each line of a text in place of its first."""
+    import duckdb
+
+    from tokenpress.plans import records
+
+    spark.createDataFrame([(1, "start\r\nx\ran error of the onand\nend", "a"), (2, "one\n\n" + "the\n" * 9 + "failed", "a"), (3, "plain", "b")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = "m AS (SELECT file, doc_id * 1000000000 + i AS line_no, content FROM (SELECT 'src/' || source || '.txt' AS file, doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"
+    for folder, files in ((str(tmp_path), "/documents.parquet/*.parquet"), (sf_dir, "/documents.parquet")):
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}{files}'")
+        got = records.grep_top_matches(spark, folder).collect()
+        assert sorted(map(tuple, got)) == sorted(c.execute(records.ORACLE_SQL["grep_top_matches"].replace(records._GREP, lines)).fetchall())
+        if folder == str(tmp_path):
+            assert ("src/a.txt", 1_000_000_002, "x\ran error of the onand", 1.0) in {tuple(r)[:4] for r in got}

@@ -150,7 +150,7 @@ GREP = r"^([A-Za-z0-9_./@\\-][^:\n]*):(\d+):(.*)$"
 def grep_matches(lines: DataFrame, line: str = "line", query: str = "") -> DataFrame:
     """file, line_no, content and score of lines in the form path:line:content; 0.5 for a word of failure, 0.3 for each term of the
     query of over two letters, 1 at most."""
-    p = GREP
+    p = "(?s)" + GREP  # lines may hold carriage returns
     d = lines.filter(F.col(line).rlike(p)).select(F.regexp_extract(line, p, 1).alias("file"), F.regexp_extract(line, p, 2).cast("bigint").alias("line_no"), F.regexp_extract(line, p, 3).alias("content"))
     wanted = sorted({w for w in query.lower().split() if len(w) > 2})
     score = F.when(F.col("content").rlike(LOG["error"]), 0.5).otherwise(0.0)
@@ -160,14 +160,19 @@ def grep_matches(lines: DataFrame, line: str = "line", query: str = "") -> DataF
 
 
 def top_matches(matches: DataFrame, per_file: int = 5, files: int = 15) -> DataFrame:
-    """Of the best files by summed score, the first, the last and the best matches: up to per_file, and two more."""
-    totals = matches.groupBy("file").agg(F.round(F.sum("score"), 6).alias("file_score"))
+    """Of the best files by summed score, the first, the last and the best matches: up to per_file, and two more.
+
+    Sums, ends and ranks are made where the rows are before a file's rows meet: one file may hold a third of them."""
+    row = F.struct("line_no", "content", "score")
+    totals = matches.groupBy("file").agg(F.round(F.sum("score"), 6).alias("file_score"), F.min(row).alias("_first"), F.max(row).alias("_last"))
     best = totals.orderBy(F.col("file_score").desc(), "file").limit(files)
-    by = Window.partitionBy("file")
-    d = matches.join(F.broadcast(best), "file")  # at most `files` rows
-    d = d.withColumn("_a", F.row_number().over(by.orderBy("line_no", "content"))).withColumn("_n", F.count(F.lit(1)).over(by))
-    d = d.withColumn("_r", F.row_number().over(by.orderBy(F.col("score").desc(), "line_no", "content")))
-    return d.filter((F.col("_n") <= per_file) | (F.col("_a") == 1) | (F.col("_a") == F.col("_n")) | (F.col("_r") <= per_file)).select("file", "line_no", "content", "score", "file_score")
+    d = matches.join(F.broadcast(best.select("file", "file_score")), "file")  # at most `files` rows
+    rank = F.row_number().over(Window.partitionBy("file").orderBy(F.col("score").desc(), "line_no", "content"))
+    top = d.withColumn("_r", rank).filter(F.col("_r") <= per_file).select("file", "line_no", "content", "score", "file_score", F.lit(0).alias("_end"))
+    ends = best.select("file", "file_score", F.explode(F.array_distinct(F.array("_first", "_last"))).alias("e")).select("file", "e.*", "file_score", F.lit(1).alias("_end"))
+    # An end that is among the best already comes once.
+    both = top.unionByName(ends).withColumn("_least", F.min("_end").over(Window.partitionBy("file", "line_no", "content")))
+    return both.filter(F.col("_end") == F.col("_least")).select("file", "line_no", "content", "score", "file_score")
 
 
 # Diffs

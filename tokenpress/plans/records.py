@@ -255,7 +255,10 @@ _GREP = "m AS (SELECT 'src/' || source || '.txt' AS file, doc_id AS line_no, spl
     r AS (SELECT s.*, file_score, row_number() OVER (PARTITION BY file ORDER BY line_no, content) AS a, count(*) OVER (PARTITION BY file) AS n, row_number() OVER (PARTITION BY file ORDER BY score DESC, line_no, content) AS r FROM s JOIN f USING (file))
     SELECT file, line_no, content, score, file_score FROM r WHERE n <= 5 OR a = 1 OR a = n OR r <= 5""")
 def grep_top_matches(spark, sf_dir):
-    d = docs(spark, sf_dir).select(F.concat(F.lit("src/"), "source", F.lit(".txt:"), F.col("doc_id").cast("string"), F.lit(":"), F.substring_index("text", "\n", 1)).alias("line"))
+    """Every line of every text; a line's number is that of its document and, in nine digits, its place there."""
+    d = docs(spark, sf_dir).select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "content"))
+    no = F.col("doc_id") * 1_000_000_000 + F.col("i") + 1
+    d = d.select(F.concat(F.lit("src/"), "source", F.lit(".txt:"), no.cast("string"), F.lit(":"), "content").alias("line"))
     return route.top_matches(route.grep_matches(d, query="the onand"))
 
 

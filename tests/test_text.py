@@ -120,3 +120,14 @@ def test_similar_pairs(spark):
     rows = [(1, 0), (2, 1), (3, 7), (4, 255), (5, -1), (6, -3), (7, 0)]
     got = {(r.a, r.b, r.distance) for r in sketch.similar_pairs(spark.createDataFrame(rows, "doc_id long, simhash long")).collect()}
     assert got == {(1, 2, 1), (1, 3, 3), (2, 3, 2), (5, 6, 1)}
+
+
+def test_same_pairs(spark, tmp_path):
+    from tokenpress.plans import texts
+
+    rows = [(3, 9), (1, 9), (2, 9), (2, 9), (4, 8), (5, -1), (None, -1)]
+    got = sorted((r.a, r.b, r.distance) for r in sketch.same_pairs(spark.createDataFrame(rows, "doc_id long, simhash long")).collect() if r.b)
+    assert got == [(1, 2, 0), (1, 3, 0)]
+    d = spark.createDataFrame([(1, "one two three four"), (2, "One, two: three four!"), (3, "other words that are far away"), (4, "one two three four")], "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(1, 2, 0), (1, 4, 0)} == {tuple(r) for r in texts.simhash_pairs(spark, str(tmp_path)).collect()}

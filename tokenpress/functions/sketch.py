@@ -56,8 +56,8 @@ def simhash(text: Column | str, shingle: int = 1) -> Column:
 
 def similar_pairs(hashes: DataFrame, key: str = "doc_id", value: str = "simhash", bits: int = 3) -> DataFrame:
     """a, b, distance for pairs of distinct fingerprints of rows at most `bits` apart, with their smallest keys: fingerprints are made
-    distinct first, then meet in one of bits + 1 bands that they must share."""
-    one = hashes.groupBy(value).agg(F.min(key).alias("k"))
+    distinct first, then meet in one of bits + 1 bands that they must share. The other rows of a fingerprint: see `same_pairs`."""
+    one = _classes(_distinct(hashes, key, value), key, value)
     width = -(-64 // (bits + 1))
     bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(value, i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1)).alias("v")) for i in range(bits + 1)))
     b = one.select("k", value, F.explode(bands).alias("band"))
@@ -66,3 +66,21 @@ def similar_pairs(hashes: DataFrame, key: str = "doc_id", value: str = "simhash"
     dist = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
     pairs = left.join(right, "band").filter((F.col("va") < F.col("vb")) & (dist <= bits))
     return pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), dist.cast("bigint").alias("distance")).distinct()
+
+
+def _distinct(hashes: DataFrame, key: str, value: str) -> DataFrame:
+    return hashes.select(key, value).distinct()
+
+
+def _classes(rows: DataFrame, key: str, value: str) -> DataFrame:
+    # All have rows; without the filter the planner drops the distinct here, and fingerprints are made anew for each side.
+    return rows.groupBy(value).agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 0")
+
+
+def same_pairs(hashes: DataFrame, key: str = "doc_id", value: str = "simhash") -> DataFrame:
+    """a, b, distance 0 for every key b of a fingerprint but its smallest, a: which class of `similar_pairs` a row belongs to. As many
+    rows as keys at most; all other pairs follow from the two, as members of a class have its distances."""
+    rows = _distinct(hashes, key, value)
+    shared = _classes(rows, key, value).filter("n > 1").select(F.col(value).alias("_v"), F.col("k").alias("a"))
+    d = rows.join(shared, F.col(value) == F.col("_v")).filter(~F.col(key).eqNullSafe(F.col("a")))
+    return d.select("a", F.col(key).alias("b"), F.lit(0).cast("bigint").alias("distance"))

@@ -289,7 +289,10 @@ def simhash64(spark, sf_dir):
 
 @query()
 def simhash_pairs(spark, sf_dir):
-    return sketch.similar_pairs(docs(spark, sf_dir).select("doc_id", sketch.simhash("text", 3).alias("simhash")))
+    """Pairs of the smallest documents of their fingerprints, and each other document with the smallest of its own, at distance 0."""
+    # Known to be never null, no join filters it: all sides share one pass over the texts.
+    d = docs(spark, sf_dir).select("doc_id", F.coalesce(sketch.simhash("text", 3), F.lit(0).cast("bigint")).alias("simhash"))
+    return sketch.similar_pairs(d).unionByName(sketch.same_pairs(d))
 
 
 @query()

@@ -383,6 +383,17 @@ def test_secrets(spark):
     assert out[0] == rows[0][1] and live not in out[20] and out[20].startswith("key [REDACTED] and ") and out[22] is None
 
 
+def test_secrets_of_many_repositories(spark):
+    """A placeholder all over one owner is an example for both; a value in as many documents as may be is live."""
+    most = secret_scan.MOST_REPOSITORIES
+    pair, live = "Qw9aZ8bY7cX6dW5eV4fU3gT2hS1iR0jQ", "token=abc123def456"
+    rows = [(i, f"x password=example99 y {pair} z", "en", "s") for i in range(most + 1)] + [(1000 + i, live, "en", "s") for i in range(most)] + [(1000, live, "en", "s")]
+    got = {r.doc_id: r for r in secret_scan.digests(secret_scan.scan(frame(spark, rows))).collect()}
+    assert (got[0].n_examples, got[0].n_live) == (1, 0) and "pair" not in got[0].spans and got[1000].n_live == 1
+    out = {r.doc_id: r.text for r in secret_scan.redact(frame(spark, rows)).collect()}
+    assert out[0] == rows[0][1] and out[1000] == secret_scan.MASK
+
+
 @pytest.mark.parametrize("most", [1 << 20, 10])
 def test_contamination(spark, sf_dir, most, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK", most)

@@ -15,6 +15,8 @@ from .common import Scratch, arrow_map
 
 #: A value of more owners than this is a widely copied example, not a credential that somebody uses.
 MOST_OWNERS = 2
+#: So is a value in more repositories than this, even if all are of one owner.
+MOST_REPOSITORIES = 100
 KINDS = ("assign", "access", "hex", "pair")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -51,13 +53,24 @@ def _digest(value: str) -> str:
     return hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = MOST_OWNERS, keep_text: bool = False) -> DataFrame:
+def spread(values: DataFrame) -> DataFrame:
+    """hash, n_owners, n_repositories of values (hash, _owner, _repo). A value that a third of all rows have is one row per task and
+    repository before it meets."""
+    count = lambda of, name: values.select("hash", of).groupBy("hash", of).agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias(name))
+    return count("_owner", "n_owners").join(count("_repo", "n_repositories"), "hash")
+
+
+def is_live(most_owners: int, most_repositories: int) -> F.Column:
+    return (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)
+
+
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = MOST_OWNERS, keep_text: bool = False, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """Candidates of every whole text, with the ownership of their values over the corpus.
 
     docs: doc_id, text and the columns named owner and repository; other columns are ignored. Returns a row per row: doc_id and
     spans, an array of kind, begin, end (code points, end exclusive), hash of the value (values themselves leave no text), base (a
-    span of the base patterns), n_owners, n_repositories and live: the value is one of at most `most_owners` owners. Spans of
-    other kinds than the base ones are candidates and live. A null text is empty; null owners and repositories count as one more
+    span of the base patterns), n_owners, n_repositories and live: the value is one of at most `most_owners` owners and in
+    at most `most_repositories` repositories. Spans of other kinds than the base ones are candidates and live. A null text is empty; null owners and repositories count as one more
     owner and repository. Equal rows each have their row. With keep_text the columns of docs come along.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
@@ -75,11 +88,9 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mos
     each = scratch.save(arrow_map(rows, run, f"doc_id long, _owner string, _repo string, found array<{SPAN}>").withColumn("_row", F.monotonically_increasing_id()), "each")
     some = each.filter(F.size("found") > 0)
     values = some.select("_owner", "_repo", F.explode("found.hash").alias("hash"))
-    spread = values.groupBy("hash", "_owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("n_owners"))
-    copies = values.distinct().groupBy("hash", "_repo").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("n_repositories"))
-    known = scratch.save(spread.join(copies, "hash"), "spread")
+    known = scratch.save(spread(values), "spread")
     spans = some.select("_row", F.posexplode("found").alias("i", "s")).select("_row", "i", "s.*").join(known, "hash")
-    spans = spans.withColumn("live", F.col("n_owners") <= most_owners).filter("base or live")
+    spans = spans.withColumn("live", is_live(most_owners, most_repositories)).filter("base or live")
     spans = spans.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("i", "kind", "begin", "end", "hash", "base", "n_owners", "n_repositories", "live"))).alias("spans"))
     spans = scratch.save(spans, "spans")
     none = F.from_json(F.lit("[]"), spans.schema["spans"].dataType)
@@ -101,7 +112,7 @@ def digests(found: DataFrame) -> DataFrame:
 MASK = "[REDACTED]"
 
 
-def redact(docs: DataFrame, owner: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", most_owners: int = MOST_OWNERS, repository: str = "doc_id", most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """docs with the live spans of every text replaced by a mask; all columns and rows stay. Examples stay as they are.
 
     The corpus-wide table of values decides; texts themselves are scanned once more where they are, so only values move. Where
@@ -109,18 +120,19 @@ def redact(docs: DataFrame, owner: str = "source", most_owners: int = MOST_OWNER
     scratch = Scratch(docs.sparkSession, "redact")
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64("text").alias("_t")]
     own = F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner")
+    repo = F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("_repo")
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        out = {k: [] for k in ("_d", "_t", "_owner", "begin", "end", "hash", "base")}
-        for d, t, o, text in zip(*(batch[k].to_pylist() for k in ("_d", "_t", "_owner", "text"))):
+        out = {k: [] for k in ("_d", "_t", "_owner", "_repo", "begin", "end", "hash", "base")}
+        for d, t, o, r, text in zip(*(batch[k].to_pylist() for k in ("_d", "_t", "_owner", "_repo", "text"))):
             for kind, a, b, v in find(text) if text else ():
-                for k, x in zip(out, (d, t, o, a, b, _digest(v), kind in KINDS[:3])):
+                for k, x in zip(out, (d, t, o, r, a, b, _digest(v), kind in KINDS[:3])):
                     out[k].append(x)
         yield out
 
-    rows = arrow_map(docs.select(*key, own, F.col("text").cast("string").alias("text")), run, "_d long, _t long, _owner string, begin int, end int, hash string, base boolean")
+    rows = arrow_map(docs.select(*key, own, repo, F.col("text").cast("string").alias("text")), run, "_d long, _t long, _owner string, _repo string, begin int, end int, hash string, base boolean")
     rows = scratch.save(rows, "candidates")
-    live = rows.groupBy("hash", "_owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("n")).filter(F.col("n") <= most_owners).select("hash")
+    live = spread(rows).filter(is_live(most_owners, most_repositories)).select("hash")
     cut = rows.join(live, "hash").select("_d", "_t", "begin", "end").distinct()
     cut = scratch.save(cut.groupBy("_d", "_t").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_cut")), "cut")
     joined = docs.withColumns({"_d": key[0], "_t": key[1]}).join(cut, ["_d", "_t"], "left")

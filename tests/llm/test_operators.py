@@ -428,6 +428,25 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(empty).collect() == []
 
 
+def test_warc_of_others(spark, tmp_path):
+    """A response that names its request, several metadata records, repeated headers, and records whose capture isn't there."""
+    import gzip
+
+    r = lambda kind, i, block=b"a: b\r\n", **more: warc.record(kind, f"<{i}>", "u", "application/warc-fields", block, **more)
+    raw = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <m3>\r\nWARC-Concurrent-To: <q1>\r\nWARC-Concurrent-To: <p2>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert [f["warc-concurrent-to"] for f, _ in warc.parse(raw)] == ["<q1> <p2>"]
+    parts = [r("request", "q1"), r("response", "p1", WARC_Concurrent_To="<q1>"), r("metadata", "m1", WARC_Concurrent_To="<p1>"), r("metadata", "m2", WARC_Concurrent_To="<q1>"), gzip.compress(raw),
+             r("response", "p2"), r("request", "q2", WARC_Concurrent_To="<p2>"), r("request", "q2", WARC_Concurrent_To="<p2>"), r("request", "q3", WARC_Concurrent_To="<p2>"),
+             r("request", "q4", WARC_Concurrent_To="<gone>"), r("metadata", "m4", WARC_Concurrent_To="<q4>"), r("metadata", "m5", WARC_Concurrent_To="<q5>"), r("request", "q5"), r("resource", "p3")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    records = warc.read(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "file string"))
+    got = {c.capture_id: (c.response and c.response.record_id, [x.record_id for x in c.request], [x.record_id for x in c.metadata]) for c in warc.assemble(records).collect()}
+    assert got == {
+        "<p1>": ("<p1>", ["<q1>"], ["<m1>", "<m2>"]), "<p2>": ("<p2>", ["<q2>", "<q3>"], ["<m3>"]), "<p3>": ("<p3>", [], []),
+        "<gone>": (None, ["<q4>"], ["<m4>"]), "<q5>": (None, ["<q5>"], ["<m5>"]),
+    }
+
+
 def test_warc_parsing():
     raw = b"WARC/1.0\r\nWARC-Type: response\r\nX: a\r\n b\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
     assert [(f.get("x"), b) for f, b in warc.parse(raw)] == [("a b", b"abc"), (None, b"")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = 1 << 20
 _SPACE = uuid.UUID("b1e4c3a2-5f0d-4c58-9a77-2d6f1e8c9b30")
-FIELDS = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, payload_bytes long, payload_digest string, metadata map<string,string>, payload binary, file string, offset long"
+FIELDS = "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, payload_bytes long, payload_digest string, metadata map<string,string>, payload binary, file string, offset long"
 
 
 def digest32(payload: bytes) -> str:
@@ -109,7 +110,8 @@ def _members(stream) -> Iterator[tuple[int, bytes]]:
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields, by lower-case name, and block of each record in the bytes."""
+    """Header fields, by lower-case name, and block of each record in the bytes. Values of a repeated
+    WARC-Concurrent-To, the one field that may be, are joined by spaces."""
     while raw := raw.lstrip(b"\r\n"):
         head, _, rest = raw.partition(b"\r\n\r\n")
         if not head.startswith(b"WARC/"):
@@ -122,7 +124,7 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             else:
                 last, _, value = line.partition(":")
                 last = last.strip().lower()
-                fields[last] = value.strip()
+                fields[last] = f"{fields[last]} {value.strip()}" if last == "warc-concurrent-to" and last in fields else value.strip()
         n = int(fields.get("content-length", 0))
         if len(rest) < n:
             raise ValueError("a WARC record is cut short")
@@ -171,7 +173,7 @@ def read(files: DataFrame, payload: bool = True) -> DataFrame:
                             digest = digest32(body)
                         elif kind == "revisit":
                             digest = f.get("warc-payload-digest", "").rpartition(":")[2].upper() or None
-                        row = (f.get("warc-record-id"), kind, f.get("warc-concurrent-to"), f.get("warc-refers-to"), f.get("warc-target-uri"), f.get("warc-date"), n, digest, meta, body if payload and kind != "revisit" else None, file, offset)
+                        row = (f.get("warc-record-id"), kind, re.findall(r"<[^>]*>|[^\s<]+", f.get("warc-concurrent-to", "")), f.get("warc-refers-to"), f.get("warc-target-uri"), f.get("warc-date"), n, digest, meta, body if payload and kind != "revisit" else None, file, offset)
                         for k, v in zip(names, row):
                             out[k].append(v)
                         size += len(body) if payload else 200
@@ -183,25 +185,42 @@ def read(files: DataFrame, payload: bool = True) -> DataFrame:
     return arrow_map(files.select("file").repartition(max(1, min(files.count(), 10_000)), "file"), run, FIELDS)
 
 
+def captures_of(r: DataFrame) -> DataFrame:
+    """record_id and capture_id of every request and metadata record; one that several captures share has a row for each.
+
+    A link counts from both its ends. The nearest captures win: those that a record is linked with, then those of records it is
+    linked with; captures that are there before those only named. Without any, metadata goes to its request."""
+    one = r.groupBy("record_id").agg(F.min("type").alias("type"))
+    side = F.col("type").isin("request", "metadata")
+    named = r.select("record_id", F.explode("concurrent_to").alias("other"))
+    links = named.unionByName(named.select(F.col("other").alias("record_id"), F.col("record_id").alias("other"))).filter("record_id <> other").distinct()
+    links = links.join(one.filter(side).select("record_id"), "record_id").join(one.select(F.col("record_id").alias("other"), F.col("type").alias("kind")), "other", "left")
+    rank = lambda there, gone, request, metadata: F.when(F.col("kind").isNull(), gone).when(F.col("kind") == "request", request).when(F.col("kind") == "metadata", metadata).otherwise(there).alias("rank")
+    near = links.select("record_id", F.col("other").alias("capture_id"), rank(1, 3, 6, 8))
+    via = links.filter(F.col("kind").isin("request", "metadata")).select("record_id", F.col("other").alias("mid"))
+    far = via.join(links.withColumnRenamed("record_id", "mid"), "mid").filter("record_id <> other").select("record_id", F.col("other").alias("capture_id"), rank(2, 4, 7, 9))
+    own = one.filter(side).select("record_id", F.col("record_id").alias("capture_id"), F.when(F.col("type") == "request", 5).otherwise(8).alias("rank"))
+    found = near.unionByName(far).unionByName(own).groupBy("record_id").agg(F.min("rank").alias("best"), F.collect_set(F.struct("rank", "capture_id")).alias("all"))
+    of_best = F.transform(F.filter("all", lambda x: x["rank"] == F.col("best")), lambda x: x["capture_id"])
+    return found.select("record_id", F.explode(F.when(F.col("best") < 5, of_best).otherwise(F.array(F.array_min(of_best)))).alias("capture_id"))
+
+
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: the response or revisit (also a resource), and its request and metadata records.
+    """One nested row per capture: the response or revisit (also a resource), and all its request and metadata records.
 
-    Concurrent-to identifiers are followed for up to two steps: metadata may name the request that names the response. Records that
-    occur twice (by identifier) count once. Request and metadata records whose capture isn't there make a row with a null
-    response. Returns capture_id, response, request, metadata (structs; the payload only in response)."""
+    Concurrent-to identifiers are followed from either end for up to two steps: metadata may name the request that names the response,
+    or that the response names. Records that occur twice (by identifier) count once. Request and metadata records whose capture
+    isn't there make a row with a null response. Returns capture_id, response (a struct), request, metadata (arrays of structs by
+    record_id, empty if there are none; the payload only in response). Records are scanned several times: save those of `read`."""
     r = records.filter(F.col("type").isin("request", "response", "revisit", "resource", "metadata") & F.col("record_id").isNotNull())
     side = r.filter(F.col("type").isin("request", "metadata")).drop("payload").dropDuplicates(["record_id"])
-    main = r.filter(~F.col("type").isin("request", "metadata"))
-    via = side.select(F.col("record_id").alias("concurrent_to"), F.col("concurrent_to").alias("next"))
-    side = side.join(via, "concurrent_to", "left").withColumn("capture_id", F.coalesce("next", "concurrent_to", "record_id"))
-    body = lambda d, *drop: F.struct(*(c for c in d.columns if c not in ("capture_id", "next", "concurrent_to", *drop)))
-    sides = side.withColumn("s", body(side)).groupBy("capture_id").agg(
-        F.max_by("s", F.when(F.col("type") == "request", F.col("record_id"))).alias("request"),
-        F.max_by("s", F.when(F.col("type") == "metadata", F.col("record_id"))).alias("metadata"),
-    )
-    sides = sides.withColumns({k: F.when(F.col(f"{k}.type") == k, F.col(k)) for k in ("request", "metadata")})
-    main = main.dropDuplicates(["record_id"]).withColumn("capture_id", F.col("record_id"))
-    return main.select("capture_id", body(main).alias("response")).join(sides, "capture_id", "full").select("capture_id", "response", "request", "metadata")
+    main = r.filter(~F.col("type").isin("request", "metadata")).dropDuplicates(["record_id"])
+    by_id = lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0)
+    sides = side.select("record_id", "type", F.struct(*side.columns).alias("s")).join(captures_of(r.select("record_id", "type", "concurrent_to")), "record_id")
+    sides = sides.groupBy("capture_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("type") == k, F.col("s"))), by_id).alias(k) for k in ("request", "metadata")))
+    out = main.select(F.col("record_id").alias("capture_id"), F.struct(*main.columns).alias("response")).join(sides, "capture_id", "full")
+    none = F.array().cast(sides.schema["request"].dataType)
+    return out.select("capture_id", "response", *(F.coalesce(k, none).alias(k) for k in ("request", "metadata")))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, at_least: int = 0) -> DataFrame:
@@ -213,8 +232,9 @@ def round_trip(pages: DataFrame, folder: str | None = None, at_least: int = 0) -
     spark = pages.sparkSession
     scratch = Scratch(spark, "archives")
     files = write(pages, folder or f"{scratch.root}/warc", at_least)
-    captures = assemble(read(files, payload=False))
-    page = F.try_element_at(F.col("metadata.metadata"), F.lit("page_id")).cast("long")
+    captures = assemble(scratch.save(read(files, payload=False), "records"))
+    pages_ = F.transform("metadata", lambda m: F.try_element_at(m["metadata"], F.lit("page_id")))
+    page = F.get(F.filter(pages_, lambda x: x.isNotNull()), F.lit(0)).cast("long")
     r = scratch.save(captures.filter("response is not null").select("capture_id", page.alias("page_id"), "response.*"), "captures")
     back = r.filter("type = 'revisit'").select("capture_id", "refers_to")
     back = back.join(r.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first")), "refers_to").select("capture_id", "first")

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, arrow_map_all, parts
 
-#: Rows that the classifier is fitted on, at most, and those that its temperature is set on; the first by a hash of doc_id.
+#: Rows that the classifier is fitted on, at most, and those that its temperature is set on: of each language, the first by a hash.
 FIT_ROWS, CALIBRATION_ROWS = 6000, 2000
+#: Languages that can be learnt, at most: those of most rows.
+LANGUAGES = 256
 #: Hashed n-grams of 1 to 3 characters, in so many columns.
 COLUMNS, ORDERS = 1 << 15, (1, 2, 3)
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 2.0, 1.0, 0.05, 1.0
@@ -32,7 +34,8 @@ def letters() -> np.ndarray:
 
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Hashed columns of the n-grams of texts taken together (lower case; what is no letter is a space, of which runs count once),
-    a row for each order; where each text begins in them; and which texts have a letter."""
+    a row for each order; where each text begins in them; and which texts have a letter. Behind its end a text goes on with
+    spaces, so what stands next to it in a batch has no part in its n-grams."""
     low = [t.lower() + " " for t in texts]
     cp = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.cumsum([0, *map(len, low)])
@@ -45,7 +48,10 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     cp = cp[keep].astype(np.uint64)
     out, h = [], np.zeros(len(cp), np.uint64)
     for n in range(max(ORDERS)):
-        h = (h + np.r_[cp[n:], np.full(min(n, len(cp)), 32, np.uint64)] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        ahead = np.r_[cp[n:], np.full(min(n, len(cp)), 32, np.uint64)]
+        for k in range(1, min(n, len(cp)) + 1):
+            ahead[at[1:] - k] = 32  # of a text of under n characters, these are the last ones of the text before it too
+        h = (h + ahead + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         if n + 1 in ORDERS:
             out.append(((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - 15)).astype(np.int32))
     return out, at, some
@@ -99,7 +105,7 @@ class Model:
         n = np.diff(at)[:, None] * len(rows)
         total = np.zeros((len(texts), len(self.languages)), np.float64)
         for r in rows:
-            total += np.add.reduceat(self.weights[r], at[:-1], axis=0)
+            total += np.add.reduceat(self.weights[r], at[:-1], axis=0, dtype=np.float64)
         return (total / n * SCALE + self.bias) / self.temperature, some
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -162,27 +168,44 @@ def remainder() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5
 
 
+def shares(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """How many rows each group may give to `most` in all: small groups all they have, the others equal parts of the rest."""
+    out, left = {}, most
+    for k, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(n, left // (len(sizes) - k))
+        left -= out[name]
+    return out
+
+
+def first_by_hash(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """Rows (doc_id, text) with _h, a hash of both: of each of the LANGUAGES largest groups about its share of `most`, those of least
+    hash. No group is sorted: its size tells up to which hash its rows are taken, with some to spare. Equal rows count once."""
+    rows = rows.withColumn("_h", F.xxhash64("doc_id", "text"))
+    sizes = {r[by]: r.n for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(LANGUAGES).collect()}
+    part = {k: min(1.0, (q + 6 * q**0.5 + 10) / sizes[k]) for k, q in shares(sizes, most).items()}
+    cuts = [(k, min((1 << 63) - 1, int(x * (1 << 64)) - (1 << 63))) for k, x in part.items()]
+    cut = rows.sparkSession.createDataFrame(cuts, f"{by} string, _cut long")
+    return rows.join(F.broadcast(cut), by).filter("_h <= _cut").dropDuplicates(["_h", by])  # at most LANGUAGES rows
+
+
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """Learns from rows with a non-null lang and text whose fold isn't 0; None if there are none. Document frequencies are over all
-    of them; weights over at most fit_rows, temperature over at most calibration_rows others, both the first by a hash of doc_id.
-    The driver gets those rows' columns and frequencies, at most COLUMNS each."""
+    of them; weights over at most fit_rows, temperature over at most calibration_rows others, of each language as many as of the
+    others or all it has (first_by_hash), so that no language is too rare to be learnt. The driver gets those rows' columns and
+    frequencies, at most COLUMNS each."""
     own = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter((remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_frequencies(own)
     if not n:
         return None
     idf = np.log((1 + n) / (1 + df)) + 1
-    # Only ids are ordered; texts come by a join on the few.
-    chosen = own.select("doc_id", F.xxhash64(F.col("doc_id"), F.lit("fit")).alias("_h")).orderBy("_h", "doc_id").limit(fit_rows + calibration_rows)
-    cut = chosen.agg(F.max("_h")).first()[0]
-    # The limit only matters where very many rows share a doc_id.
-    some = own.withColumn("_h", F.xxhash64(F.col("doc_id"), F.lit("fit"))).filter(F.col("_h") <= cut).limit(2 * (fit_rows + calibration_rows))
+    some = first_by_hash(own, "lang", fit_rows + calibration_rows)
 
     def run(batch: pa.RecordBatch) -> dict:
         made = [column_counts(t) for t in batch["text"].to_pylist()]
         return {"h": batch["_h"], "lang": batch["lang"], "cols": [c.astype("<i4").tobytes() for c, _ in made], "tf": [v.astype("<f4").tobytes() for _, v in made]}
 
-    rows = arrow_map(some.select("_h", "lang", "text"), run, "h long, lang string, cols binary, tf binary").toPandas()
-    rows = rows.assign(size=rows.cols.map(len)).sort_values(["h", "lang", "size"]).head(fit_rows + calibration_rows)
+    rows = arrow_map(some.select("_h", "lang", "text"), run, "h long, lang string, cols binary, tf binary").orderBy("h", "lang").toPandas()
+    rows = rows[rows.groupby("lang").cumcount() < rows.lang.map(shares(rows.lang.value_counts().to_dict(), fit_rows + calibration_rows))]
     languages = sorted(rows.lang.unique())
     data = [(c := np.frombuffer(r.cols, "<i4"), np.frombuffer(r.tf, "<f4").astype(float) * idf[c] * SCALE, languages.index(r.lang)) for r in rows.itertuples() if len(r.cols)]
     held = data[::4][:calibration_rows]

@@ -112,39 +112,38 @@ def non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ste
 
 
 def mixture_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Upper bound on the share of positives where no negatives are known: the least ratio of how often an unlabelled row and a
-    positive pass a threshold, over thresholds that at least a twentieth of the positives pass, along a rough classifier."""
+    """Estimate, from above, of the share of positives in unlabelled text: the least ratio of how often an unlabelled row and a
+    positive pass a threshold, over thresholds that at least a twentieth of the positives pass, along a rough classifier. Both
+    counts are moved by their standard errors, without which the least of many ratios of few rows is too small."""
     w, b = non_negative(positive, unlabelled, 0.5, 200)
     fp, fu = positive @ w + b, unlabelled @ w + b
     cuts = np.quantile(fp, np.linspace(0, 0.95, 96))
-    ratio = [(fu >= c).mean() / (fp >= c).mean() for c in cuts]
-    return float(np.clip(min(ratio), 0.05, 0.99))
+    p, u = (np.array([(f >= c).mean() for c in cuts]) for f in (fp, fu))
+    ratio = (u + np.sqrt(u * (1 - u) / len(fu))) / np.maximum(p - np.sqrt(p * (1 - p) / len(fp)), 1e-9)
+    return float(np.clip(ratio.min(), 0.05, 0.99))
 
 
 def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model | None:
     """Learns from rows whose fold isn't 0: trusted positives (quality 1), and text whatever its label as unlabelled. The class prior
-    is the share of quality 1 among all labels of these folds; without any label 0, a bound on the mixture. None if there are no
-    positives. At most positive_rows ids are broadcast; the driver gets as many rows of len(NAMES) floats."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter((remainder() != 0) & F.col("quality").isNotNull())
-    n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
-    if not ones:
-        return None
+    is estimated from the mixture; labels 0 are never used. None if there are no positives. At most positive_rows ids are broadcast;
+    the driver gets at most twice as many rows of len(NAMES) floats as may be fitted on (more than once only if ids repeat)."""
+    known = labels.filter((remainder() != 0) & (F.col("quality").cast("int") == 1)).select("doc_id").distinct()
     h = F.xxhash64(F.col("doc_id"), F.lit("quality"))
-    positives = known.filter("quality = 1").select("doc_id").distinct().withColumn("_h", h).orderBy("_h", "doc_id").limit(positive_rows).select("doc_id", F.lit(True).alias("_p"))
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter((remainder() != 0) & F.col("text").isNotNull()).withColumn("_h", h)
+    positives = known.withColumn("_h", h).orderBy("_h", "doc_id").limit(positive_rows).select("doc_id", F.lit(True).alias("_p"))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter((remainder() != 0) & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("doc_id", "text"))
     cut = own.select("_h").orderBy("_h").limit(unlabelled_rows).agg(F.max("_h")).first()[0]
     if cut is None:
         return None
-    # The limit only matters where very many rows share a doc_id.
-    rows = own.join(F.broadcast(positives), "doc_id", "left").withColumn("_u", F.col("_h") <= cut).filter("_u or _p").limit(2 * (positive_rows + unlabelled_rows))
-    got = arrow_map(rows.select("_h", "_u", F.coalesce("_p", F.lit(False)).alias("_p"), "text"), _rows, "h long, u boolean, p boolean, x binary").toPandas().sort_values(["h", "x"])
+    # Equal rows count once, so a hash that very many of them share takes no more than one.
+    rows = own.join(F.broadcast(positives), "doc_id", "left").withColumn("_u", F.col("_h") <= cut).filter("_u or _p").dropDuplicates(["_h"])
+    got = arrow_map(rows.select("_h", "_u", F.coalesce("_p", F.lit(False)).alias("_p"), "text"), _rows, "h long, u boolean, p boolean, x binary").orderBy("h").limit(2 * (positive_rows + unlabelled_rows)).toPandas()
     if not got.p.any():
         return None
     x = np.stack([np.frombuffer(b, np.float32) for b in got.x]).astype(float)
     p, u = x[got.p.to_numpy()], x[got.u.to_numpy()]
     mean, scale = u.mean(0), np.maximum(u.std(0), 0.02)
     p, u = (p - mean) / scale, (u - mean) / scale
-    prior = ones / n if ones < n else mixture_prior(p, u)
+    prior = mixture_prior(p, u)
     w, b = non_negative(p, u, prior)
     return Model(mean, scale, w, b, prior)
 

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch
 
-#: Transformed statistics, and the least standard deviation that an estimate may give each.
+#: Transformed statistics, and the standard deviation that is added to each: what a group's spread is never taken to be below, so
+#: that each statistic can reject by itself (repeats and duplicate lines from a share of about 7 percent, where a group has none).
 DIMS = ("z_words", "z_length", "z_symbols", "z_lines", "z_repeats")
-FLOOR = (0.35, 0.08, 0.05, 0.12, 0.12)
+FLOOR = (0.35, 0.06, 0.03, 0.06, 0.06)
 P = len(DIMS)
-STEPS = 6
+STEPS = 5
 #: Share of a group's rows that the estimate stands on, and the chi-square probability beyond which a row is rejected.
-SHARE, TAIL = 0.75, 1e-6
-#: Groups with fewer rows are pooled by language, then all together; a pool with fewer rejects nothing.
+SHARE, TAIL = 0.75, 1e-3
+#: A group with fewer rows has no estimate of its own: its rows are judged by that of all rows of their language, or of the table.
 MIN_ROWS = 60
+#: Ways to begin: the medians with median deviations alone, with correlations of spatial signs, and of hyperbolic tangents.
+STARTS = ("spread", "signs", "tanh")
 #: Bins of squared distance for each doubling.
 BINS = 16
 
@@ -45,8 +48,15 @@ def chi2_quantile(q: float, k: int) -> float:
 
 
 CUT = chi2_quantile(1 - TAIL, P)
-#: The covariance of the innermost share of a normal distribution is smaller by this factor.
-SHRUNK = chi2_cdf(chi2_quantile(SHARE, P), P + 2) / SHARE
+
+
+def shrunk(share: float) -> float:
+    """The covariance of the innermost share of a normal distribution is smaller by this factor."""
+    return chi2_cdf(chi2_quantile(share, P), P + 2) / share if share < 1 else 1.0
+
+
+#: By the percentage of rows that were taken.
+SHRUNK = [shrunk(max(k, 1) / 100) for k in range(101)]
 
 
 def let(value: Column, then) -> Column:
@@ -64,7 +74,9 @@ def statistics(docs: DataFrame) -> DataFrame:
     d = d.select("doc_id", "lang", "source", words.alias("words"), lines.alias("lines"),
                  F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
     n = F.size("words")
-    hashes = F.when(n > 8, F.transform(F.sequence(F.lit(1), F.greatest(n - 7, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, 8)))).otherwise(F.array().cast("array<bigint>"))
+    # Each word is hashed once; windows of two, four and eight words by the hashes of their halves.
+    both = lambda h, k: let(h, lambda x: F.zip_with(F.slice(x, 1, F.size(x) - k), F.slice(x, k + 1, F.size(x) - k), lambda a, b: F.xxhash64(a, b)))
+    hashes = F.when(n > 8, both(both(both(F.transform("words", lambda w: F.xxhash64(w)), 1), 2), 4)).otherwise(F.array().cast("array<bigint>"))
     d = d.select("doc_id", "lang", "source", "n_symbols", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
                  F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), hashes.alias("hashes"))
 
@@ -97,31 +109,38 @@ def _same(df: DataFrame, other: DataFrame, keys: tuple[str, ...], how: str = "in
     return df.join(right, on, how).drop(*(f"r_{k}" for k in keys))
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """g: the group that a row's estimate is from: language and source, or the pools that take groups too small."""
+def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with g, whose estimate judges them: their language and source, or if that has under MIN_ROWS rows their language, or the
+    table; and the rows with each g whose estimate they are part of. A pool has all rows of its language or of the table, those
+    of large groups too; only pools that some row is judged by are made."""
+    name = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
     sizes = rows.groupBy("lang", "source").agg(F.sum((~F.col("base_failed")).cast("long")).alias("n"))
     small = F.col("n") < MIN_ROWS
-    by_lang = sizes.groupBy("lang").agg(F.sum(F.when(small, F.col("n")).otherwise(0)).alias("n_lang"))
-    g = F.when(~small, F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})).when(F.col("n_lang") >= MIN_ROWS, F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})).otherwise("all")
-    return _same(rows, _same(sizes, by_lang, ("lang",)).select("lang", "source", g.alias("g")), ("lang", "source"))
+    by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.max(small).alias("some"))
+    few = F.col("n_lang") < MIN_ROWS
+    whole = by_lang.agg(F.coalesce(F.max(few), F.lit(False)).alias("rest"))  # one row
+    g = F.when(~small, name("lang", "source")).when(~few, name("lang")).otherwise("all")
+    part = F.array_compact(F.array(F.when(~small, name("lang", "source")), F.when(F.col("some") & ~few, name("lang")), F.when(F.col("rest"), F.lit("all"))))
+    keys = _same(sizes, by_lang, ("lang",)).crossJoin(F.broadcast(whole)).select("lang", "source", g.alias("g"), part.alias("part"))
+    named = _same(rows, keys, ("lang", "source"))
+    return named.drop("part"), named.filter("not base_failed").select(F.explode("part").alias("g"), *DIMS)
 
 
 def solved(est: DataFrame) -> DataFrame:
-    """From g, n, m and cov (a lower triangle) to g, n, m and w, the inverse of the Cholesky factor of cov with its floor.
+    """From g, start, n, m and cov (a lower triangle) to g, start, n, m, w, the inverse of the Cholesky factor of cov with its floor, and
+    spread, the logarithm of the factor's determinant.
 
     One small column at a time: an expression over the whole matrix would repeat its parts over and over."""
     d, at = est, lambda i, j: i * (i + 1) // 2 + j
+    for j in range(P):
+        rest = {i: sum((-F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.get("cov", F.lit(at(i, j))) + (FLOOR[i] ** 2 if i == j else 0.0)) for i in range(j, P)}
+        d = d.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest.pop(j), F.lit(1e-12))))
+        d = d.withColumns({f"l{i}{j}": x / F.col(f"l{j}{j}") for i, x in rest.items()}) if rest else d
     for i in range(P):
-        for j in range(i + 1):
-            rest = F.get("cov", F.lit(at(i, j))) + (FLOOR[i] ** 2 if i == j else 0.0)
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            d = d.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    for i in range(P):
-        for j in range(i + 1):
-            rest = F.lit(1.0) if i == j else -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
-            d = d.withColumn(f"w{i}{j}", rest / F.col(f"l{i}{i}"))
-    return d.select("g", "n", "m", F.array(*(F.col(f"w{i}{j}") for i in range(P) for j in range(i + 1))).alias("w"))
+        below = lambda j: sum((-F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))  # noqa: E731, B023
+        d = d.withColumns({f"w{i}{j}": (F.lit(1.0) if i == j else below(j)) / F.col(f"l{i}{i}") for j in range(i + 1)})
+    w = F.array(*(F.col(f"w{i}{j}") for i in range(P) for j in range(i + 1)))
+    return d.select("g", "start", "n", "m", w.alias("w"), sum((F.log(F.col(f"l{i}{i}")) for i in range(P)), F.lit(0.0)).alias("spread"))
 
 
 def distance() -> Column:
@@ -138,48 +157,69 @@ def _moments() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *sums, *(F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1))]
 
 
-def _estimate(sums: DataFrame, shrunk: float) -> DataFrame:
+def _estimate(sums: DataFrame, factor: Column) -> DataFrame:
     mean = [F.col(f"s{i}") / F.col("n") for i in range(P)]
-    cov = [(F.col(f"c{i}{j}") / F.col("n") - mean[i] * mean[j]) / shrunk for i in range(P) for j in range(i + 1)]
-    return solved(sums.select("g", "n", F.array(*mean).alias("m"), F.array(*cov).alias("cov")))
+    cov = [(F.col(f"c{i}{j}") / F.col("n") - mean[i] * mean[j]) / factor for i in range(P) for j in range(i + 1)]
+    return solved(sums.select("g", "start", "n", F.array(*mean).alias("m"), F.array(*cov).alias("cov")))
+
+
+def _starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The estimates to begin with, one for each of STARTS: medians and median absolute deviations, exact on a grid of 1/64, alone and
+    with two robust correlations. Of rows equal in a statistic there are few kinds on the grid, so no group is gathered."""
+    grid = lambda c: F.round(c * 64) / 64
+    med = scratch.save(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.percentile(grid(F.col(c)), F.lit(0.5)) for c in DIMS)).alias("m")), "median")
+    mad = [F.percentile(grid(F.abs(F.col(c) - F.get("m", F.lit(i)))), F.lit(0.5)) for i, c in enumerate(DIMS)]
+    scale = F.transform(F.array(*mad), lambda x: F.greatest(x * 1.4826, F.lit(1e-3)))
+    spread = scratch.save(rows.join(med.drop("n"), "g").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.first("m").alias("m"), scale.alias("sd")), "spread")
+    z = [(F.col(c) - F.get("m", F.lit(i))) / F.get("sd", F.lit(i)) for i, c in enumerate(DIMS)]
+    at = rows.join(spread.drop("n"), "g").select("g", *(x.alias(f"z{i}") for i, x in enumerate(z)))
+    size = F.sqrt(F.greatest(sum((F.pow(F.col(f"z{i}"), F.lit(2.0)) for i in range(P)), F.lit(0.0)), F.lit(1e-12)))
+    at = at.select("g", *((F.col(f"z{i}") / size).alias(f"u{i}") for i in range(P)), *(F.tanh(f"z{i}").alias(f"t{i}") for i in range(P)))
+    cross = at.groupBy("g").agg(*(F.sum(F.col(f"{k}{i}") * F.col(f"{k}{j}")).alias(f"{k}{i}{j}") for k in "ut" for i in range(P) for j in range(i + 1)))
+    both = spread.join(cross, "g")
+    sd = [F.get("sd", F.lit(i)) for i in range(P)]
+    corr = lambda k, i, j: F.coalesce(F.col(f"{k}{i}{j}") / F.nullif(F.sqrt(F.col(f"{k}{i}{i}") * F.col(f"{k}{j}{j}")), F.lit(0.0)), F.lit(0.0))
+    cov = lambda k: F.array(*(sd[i] * sd[j] * (F.lit(1.0) if i == j else corr(k, i, j) if k else F.lit(0.0)) for i in range(P) for j in range(i + 1)))
+    kinds = F.explode(F.array(*(F.struct(F.lit(name).alias("start"), cov(k).alias("cov")) for name, k in zip(STARTS, ("", "u", "t")))))
+    return solved(both.select("g", "n", "m", kinds.alias("k")).select("g", "n", "m", "k.*"))
 
 
 def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """g, m, w: the minimum-covariance-determinant estimate of each group of `rows` (g and the vector).
 
-    Start: medians and median absolute deviations, exact on a grid of 1/64. Concentration steps: order a group's rows by their
-    distance, in bins of 2^(1/16), and estimate anew from the least whole bins that hold SHARE of them; each step's determinant
-    is no larger. Bins keep equal rows together and let every step be one aggregation with partial results, whatever the size
-    of a group. Last, one step on the rows within the 97.5 % ellipsoid. Estimates stay in tables: there may be many groups."""
-    grid = lambda c: F.round(c * 64) / 64
-    med = scratch.save(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.percentile(grid(F.col(c)), F.lit(0.5)) for c in DIMS)).alias("m")).filter(F.col("n") >= MIN_ROWS), "median")
-    mad = [F.percentile(grid(F.abs(F.col(c) - F.get("m", F.lit(i)))), F.lit(0.5)) for i, c in enumerate(DIMS)]
-    spread = rows.join(med.drop("n"), "g").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.first("m").alias("m"), F.array(*mad).alias("mad"))
-    cov = [F.pow(F.get("mad", F.lit(i)) * 1.4826, F.lit(2.0)) if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)]
-    est = scratch.save(solved(spread.withColumn("cov", F.array(*cov))), "start")
+    Several starts, and from each of them concentration steps: order a group's rows by their distance, in bins of 2^(1/16), and
+    estimate anew from the least whole bins that hold SHARE of them, by the consistency factor of the share that they hold.
+    Bins keep equal rows together and let every step be one aggregation with partial results, for all starts together and
+    whatever the size of a group. The start that ends with the least determinant counts. Last, one step on the rows within its
+    97.5 % ellipsoid. Estimates stay in tables: there may be many groups."""
+    est = scratch.save(_starts(rows, scratch), "start")
+    factor = F.element_at(F.array(*map(F.lit, SHRUNK)), F.round(F.col("n") * 100 / F.col("of")).cast("int") + 1)
     for step in range(STEPS):
         near = F.floor(F.log2(F.greatest(distance(), F.lit(1e-6))) * BINS).alias("bin")
-        bins = rows.join(est.drop("n"), "g").select("g", *DIMS, near).groupBy("g", "bin").agg(*_moments())
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        inner = bins.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy("g"))).filter(F.col("before") < F.col("all") * SHARE)
-        sums = inner.groupBy("g").agg(*(F.sum(c).alias(c) for c in bins.columns if c not in ("g", "bin")))
-        est = scratch.save(_estimate(sums, SHRUNK), f"step{step}")
-    inner = rows.join(est.drop("n"), "g").filter(distance() <= chi2_quantile(0.975, P)).groupBy("g").agg(*_moments())
-    return scratch.save(_estimate(inner, chi2_cdf(chi2_quantile(0.975, P), P + 2) / 0.975), "final")
+        bins = rows.join(est.drop("n"), "g").select("g", "start", *DIMS, near).groupBy("g", "start", "bin").agg(*_moments())
+        group = Window.partitionBy("g", "start")
+        before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        inner = bins.withColumn("before", before).withColumn("of", F.sum("n").over(group)).filter(F.col("before") < F.col("of") * SHARE)
+        sums = inner.groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in bins.columns if c not in ("g", "start", "bin")), F.first("of").alias("of"))
+        est = scratch.save(_estimate(sums, factor), f"step{step}")
+    best = est.groupBy("g").agg(F.min(F.struct("spread", "start")).alias("b")).select("g", "b.start")
+    est = scratch.save(est.join(best, ["g", "start"]), "best")
+    inner = rows.join(est.drop("n"), "g").filter(distance() <= chi2_quantile(0.975, P)).groupBy("g", "start").agg(*_moments())
+    return scratch.save(_estimate(inner, F.lit(shrunk(0.975))), "final")
 
 
 def outliers(docs: DataFrame) -> DataFrame:
     """Statistics of every whole text, the base rule, and the verdict of the robust distance within language and source.
 
     docs: doc_id, text, lang, source; other columns are ignored. Returns a row per row: doc_id, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, kept, distance (null where the group and its pools are too small). Words of a null
+    n_dup_lines, n_repeat_words, base_failed, kept, distance (null where no row passes the base rule). Words of a null
     or empty text: none, so it fails the base rule. A null language or source is a value like any other. Rows that fail the
     base rule take no part in estimates. Equal rows get equal verdicts. Every group is estimated from all of its rows.
     """
     scratch = Scratch(docs.sparkSession, "outliers")
     stats = scratch.save(transformed(statistics(docs)), "stats")
-    rows = grouped(stats)
-    est = robust_estimates(scratch.save(rows.filter("not base_failed").select("g", *DIMS), "rows"), scratch)
-    out = rows.join(est.drop("n"), "g", "left").withColumn("distance", distance())
+    rows, members = grouped(stats)
+    est = robust_estimates(scratch.save(members, "rows"), scratch)
+    out = rows.join(est.select("g", "m", "w"), "g", "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -18,10 +18,9 @@ LIMIT, END = 1024, 2
 CHUNK = 1 << 18
 #: Pieces that the tokenizer gets at once: what it returns for one takes a kilobyte.
 ENCODED = 2000
-#: Pieces that are packed together, by one task; a corpus has as many such blocks as it needs.
-BLOCK = 60_000
-#: Least-filled bins in a row that the local search fails to empty before it ends.
-PATIENCE = 200
+#: Pieces that are packed together, by one task; a corpus has as many such blocks as it needs. Bins with a free share of at least
+#: one in ROOMY go on to another round of blocks, until one block holds them all or a round has half as many as before or more.
+BLOCK, ROOMY = 60_000, 64
 _END_MARK = 0x10FFFF
 
 
@@ -178,10 +177,21 @@ def best_fit(lengths: list[int], limit: int = LIMIT) -> list[list[int]]:
     return bins
 
 
-def improve(lengths: list[int], bins: list[list[int]], limit: int = LIMIT, patience: int = PATIENCE) -> list[list[int]]:
+def absorbers(sizes: np.ndarray, free: np.ndarray, bins: np.ndarray, limit: int) -> np.ndarray:
+    """[f, w]: in how many ways bins with a free space of 1 to f take weight w, for nothing or for one lighter document. sizes, free:
+    of documents in underfull bins and of their bins; bins: the free space of each such bin."""
+    delta = np.zeros((limit + 1, 2 * limit + 2), np.int32)
+    for f, w in ((bins, np.zeros_like(bins)), (free, sizes)):
+        np.add.at(delta, (f, w + 1), 1)
+        np.add.at(delta, (f, w + f + 1), -1)
+    return delta.cumsum(1)[:, : limit + 1].cumsum(0)
+
+
+def improve(lengths: list[int], bins: list[list[int]], limit: int = LIMIT) -> list[list[int]]:
     """Empties underfull bins, from the least filled on, by exchanges with bins at least as full: a move, one document for a
     smaller one, two for one, or one for two. Each step carries weight to the fuller bin, so the sum of squared fills only grows
-    and the search ends. It also ends at the bound that no packing beats, or after `patience` bins in a row that stayed."""
+    and the search ends: at the bound that no packing beats, or where no underfull bin has a step left. Which bins have one is
+    told for all at once by counts of what other bins take, so bins without cost next to nothing."""
     size = np.asarray(lengths, np.int64)
     if not len(size):
         return bins
@@ -192,7 +202,6 @@ def improve(lengths: list[int], bins: list[list[int]], limit: int = LIMIT, patie
     spare = len(bins) - int(-(-size.sum() // limit))
     bins = [list(b) for b in bins]
     open_items = np.flatnonzero(fill[owner] < limit)
-    failed = 0
 
     def shift(item: int, to: int) -> None:
         b = int(owner[item])
@@ -202,20 +211,28 @@ def improve(lengths: list[int], bins: list[list[int]], limit: int = LIMIT, patie
         fill[b] -= size[item]
         fill[to] += size[item]
 
+    def weights(donor: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        mine = sorted(bins[donor], key=lambda i: -size[i])
+        yield from (((x,), int(size[x])) for x in mine)
+        yield from (((x, y), int(size[x] + size[y])) for k, x in enumerate(mine) for y in mine[k + 1 :])
+
+    def has_step(donor: int, ways: np.ndarray) -> bool:
+        free = limit - int(fill[donor])
+        own = [0, *(int(size[i]) for i in bins[donor])]
+        return any(ways[free, w] > sum(y < w <= y + free for y in own) for _, w in weights(donor) if w <= limit)
+
     def step(donor: int) -> bool:
         """One exchange that takes weight from the donor, the one that fills its partner most."""
         ys, bs = size[open_items], owner[open_items]
         free = limit - fill[bs]
         fit = (fill[bs] >= fill[donor]) & (bs != donor) & (free > 0)
-        mine = sorted(bins[donor], key=lambda i: -size[i])
-        for x in mine:
-            room = np.where(fit & (free >= size[x]), free, limit + 1)
+        for xs, weight in weights(donor):
+            room = np.where(fit & (free >= weight), free, limit + 1)
             if len(room) and room.min() <= limit:
-                shift(x, int(bs[room.argmin()]))
+                for x in xs:
+                    shift(x, int(bs[room.argmin()]))
                 return True
-        singles = [((x,), int(size[x])) for x in mine]
-        doubles = [((x, y), int(size[x] + size[y])) for k, x in enumerate(mine) for y in mine[k + 1 :]]
-        for xs, weight in singles + doubles:
+        for xs, weight in weights(donor):
             gain = weight - ys
             gain = np.where(fit & (gain > 0) & (gain <= free), gain - free, -limit - 1)  # 0: the partner is full
             if len(gain) and gain[best := int(gain.argmax())] > -limit - 1:
@@ -226,20 +243,16 @@ def improve(lengths: list[int], bins: list[list[int]], limit: int = LIMIT, patie
                 return True
         return False
 
-    while spare > 0 and failed < patience:
+    while spare > 0:
         alive = np.flatnonzero((fill > 0) & (fill < limit))
-        order = alive[np.lexsort((alive, fill[alive]))]
-        if failed >= len(order):
+        open_items = open_items[fill[owner[open_items]] < limit]
+        ways = absorbers(size[open_items], limit - fill[owner[open_items]], limit - fill[alive], limit)
+        donor = next((d for d in alive[np.lexsort((alive, fill[alive]))].tolist() if has_step(d, ways)), None)
+        if donor is None or not step(donor):
             break
-        donor = int(order[failed])
-        before = int(fill[donor])
         while fill[donor] and step(donor):
             pass
-        if not fill[donor]:
-            spare -= 1
-        if fill[donor] and fill[donor] == before:
-            failed += 1
-        open_items = open_items[(fill[owner[open_items]] < limit)]
+        spare -= not fill[donor]
     return [b for b in bins if b]
 
 
@@ -274,36 +287,58 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, keep_ids: bool = F
     docs: doc_id, text; other columns are ignored. tokenizer: path of a tokenizer file, on every executor. Returns a row per
     piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with keep_ids the ids (little-endian unsigned 32-bit
     integers). A null or empty text is END alone. Equal rows are packed each for itself. An empty table gives none. Pieces are
-    packed in blocks of about `block` by a hash of their document: a block ends with one underfull bin or so, a loss of under
-    0.1 percent, and needs the memory of its lengths (with keep_ids, of its ids) alone.
+    packed in blocks of about `block`, whatever their ids, each in the memory of its lengths (with keep_ids, of its ids) alone; bins
+    that blocks leave with room meet in further rounds.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    all_pieces = scratch.save(pieces(docs, tokenizer, limit, keep_ids), "pieces")
-    n = max(1, -(-all_pieces.count() // block))
+    left = scratch.save(pieces(docs, tokenizer, limit, keep_ids).withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    schema = "did long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "_at long, sequence_id long, offset long, roomy boolean"
+    count, level, out = left.count(), 0, None
+    while True:
+        n = max(1, -(-count // block))
+        # _at: in the first round a number of the row, then of the bin, whose pieces stay together.
+        packed = arrow_map_all(left.repartition(n, F.xxhash64("_at")), _pack_blocks(limit, level), schema)
+        packed = scratch.save(packed, f"packed{level}")
+        roomy = packed.filter("roomy").count() if n > 1 else 0
+        done = packed.filter("not roomy") if 0 < 2 * roomy < count else packed
+        out = done if out is None else out.unionByName(done)
+        if done is packed:
+            break
+        left = packed.filter("roomy").select(*left.columns[:-1], F.col("sequence_id").alias("_at"))
+        count, level = roomy, level + 1
+    return out.select(doc_id(), *[c for c in out.columns if c not in ("did", "_at", "roomy")])
+
 
+def _pack_blocks(limit: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 33
+        first = (level << 56) + (TaskContext.get().partitionId() << 32)
         table = [b for b in batches if b.num_rows]
         if not table:
             return
         table = pa.Table.from_batches(table)
-        table = table.sort_by([("did", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("did", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("_at", "ascending")])
         lengths = table["length"].to_pylist()
         small = [i for i, x in enumerate(lengths) if x < limit]
         sizes = [lengths[i] for i in small]
-        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        sequence, offset, roomy = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
         packed = improve(sizes, best_fit(sizes, limit), limit)
+        if level:
+            was = table["_at"].to_pylist()
+            bins = defaultdict(list)
+            for k, i in enumerate(small):
+                bins[was[i]].append(k)
+            packed = min(packed, improve(sizes, list(bins.values()), limit), key=len)
         for k, items in enumerate([[small[i] for i in b] for b in packed] + [[i] for i, x in enumerate(lengths) if x == limit]):
             at = 0
             for i in items:
                 sequence[i], offset[i] = first + k, at
                 at += lengths[i]
-        table = table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+            roomy[items] = (limit - at) * ROOMY >= limit
+        for k, x in (("sequence_id", sequence), ("offset", offset), ("roomy", roomy)):
+            table = table.append_column(k, pa.array(x))
         for b in table.to_batches(max_chunksize=10_000):
             yield {k: b[k] for k in b.schema.names}
 
-    schema = "did long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "sequence_id long, offset long"
-    out = arrow_map_all(all_pieces.repartition(n, F.xxhash64("did", "piece")), run, schema)
-    return out.select(doc_id(), *[c for c in out.columns if c != "did"])
+    return run

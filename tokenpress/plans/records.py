@@ -247,7 +247,8 @@ def log_condensed(spark, sf_dir):
     return route.render_lines(route.select_lines(folded))
 
 
-_GREP = "m AS (SELECT 'src/' || source || '.txt' AS file, doc_id AS line_no, split_part(text, chr(10), 1) AS content FROM documents)"
+_GREP = """m AS (SELECT 'src/' || source || '.txt' AS file, doc_id * 1000000000 + i AS line_no, content FROM (SELECT source, doc_id, unnest(l) AS content, generate_subscripts(l, 1) AS i
+    FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents)))"""
 
 
 @query(f"""WITH {_GREP}, s AS (SELECT *, round(least((CASE WHEN regexp_matches(content, {q.lit(route.LOG['error'])}) THEN 0.5::DOUBLE ELSE 0 END) + (CASE WHEN contains(lower(content), 'the') THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN contains(lower(content), 'onand') THEN 0.3::DOUBLE ELSE 0 END), 1), 6) AS score FROM m),

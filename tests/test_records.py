@@ -1,6 +1,7 @@
 """Routing, scans, ranking, chats, sources and streaming."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -38,7 +39,47 @@ def test_fold(spark):
     assert fold([f"job {10_000 + i} done" for i in range(8)]) == ["job 10000 done  (repeated 8x)"]
     assert fold(["job 1", "job 2", "job 3"]) == ["job 1", "job 2", "job 3"] and fold(["a", "a"]) == ["a", "a"]
     rows = [f"user {n} logged in from 10.0.0.{i} ok" for i, n in enumerate(("ann", "bob", "eve"))] + ["something else entirely happened"]
-    assert len(route.fold_fuzzy(rows, distance=30)) < 4 and route.fold_fuzzy(rows, distance=0) == rows
+    fuzzy = lambda rows, n: [r.line for r in sorted(route.fold_fuzzy_lines(lines(spark, rows), distance=n).collect(), key=lambda r: r.no)]
+    assert len(fuzzy(rows, 30)) < 4 and fuzzy(rows, 0) == rows
+
+
+def test_fuzzy_fold_by_hand(spark):
+    """Runs are told against their first line; logs are apart; a run may be longer than a batch."""
+    from tokenpress.functions.sketch import hamming, simhash_text
+
+    rng = random.Random(3)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    logs = {k: [" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(60)] for k in (1, 2)} | {3: ["same line again"] * 500, 4: ["x", None, "x"]}
+    rows = [(k, i, x) for k, xs in logs.items() for i, x in enumerate(xs)]
+    rng.shuffle(rows)
+    got = sorted((r.log_id, r.no, r.line, r.run) for r in route.fold_fuzzy_lines(spark.createDataFrame(rows, "log_id int, no int, line string").repartition(5)).collect())
+    want = []
+    for k, xs in logs.items():
+        i = 0
+        while i < len(xs):
+            j = i + 1
+            while j < len(xs) and ((xs[i] or "") == (xs[j] or "") or hamming(simhash_text(xs[i] or ""), simhash_text(xs[j] or "")) <= 18):
+                j += 1
+            want += [(k, i, f"{xs[i]}  (repeated {j - i}x)", j - i)] if j - i >= 3 else [(k, n, xs[n] or "", 1) for n in range(i, j)]
+            i = j
+    assert got == sorted(want)
+
+
+def test_cleaned_before_compaction(spark):
+    rows = [(1, 0, "system", "**Keep** this"), (1, 1, "user", "# Head\n**Bold** text with `code` {\"a\": {\"b\": {\"c\": {\"d\": {\"e\": 1, \"f\": \"g\"}}}}}"), (1, 2, "assistant", "```py\nx = 1\n```\nrm -rf **all**"), (2, 0, "user", "<html><body><div><p>one</p><script>x</script></div></body></html>"), (2, 1, "user", None)]
+    d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    made = lambda **o: {r.conv_id: r for r in chat.compact(d, chat.Options(**o)).collect()}
+    plain, clean, html = made(), made(clean=True), made(extract_html=True)
+    assert "**Bold**" in plain[1].text and plain[1].saved_usd == 0
+    assert "Bold text with code" in clean[1].text and "{" not in clean[1].text and "**Keep**" in clean[1].text and "rm -rf **all**" in clean[1].text
+    assert html[2].text == "User: one" and "`code`" in made(clean=True, keep_code=True)[1].text and '"e": 1' in made(clean=True, keep_json=True)[1].text
+    assert made(min_words=3, min_sentences=1, min_stop_ratio=0.0, summarizer=lambda text, k: "short")[1].text.count("short") >= 1
+
+
+def test_diff_headers_each_begin_a_file(spark):
+    diff = "\n".join(f"--- a/{i}\n@@ -1 +1 @@\n-a\n+b" for i in range(25))
+    got = route.trim_diffs(spark.createDataFrame([(1, diff)], "diff_id int, diff string")).first()
+    assert got.trimmed.count("--- a/") == 20 and (got.additions, got.deletions) == (25, 25)
 
 
 def test_log_selection(spark):

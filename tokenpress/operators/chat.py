@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import token_count
+from ..functions.text import PRICES, token_count
 from .rank import textrank
 from .scan import CRITICAL, DESTRUCTIVE, bounded
 
@@ -135,7 +135,9 @@ def budget_suffix(turns: DataFrame, most: int, conv: str = "conv_id", turn: str
 
 @dataclass(frozen=True)
 class Options:
-    """How a conversation is compacted. Discourse: paragraphs of at least so many words, share of function words and sentences."""
+    """How a conversation is compacted. Discourse: paragraphs of at least so many words, share of function words and sentences. clean:
+    markup goes first (markdown_text, with keep_code and keep_json), but not of critical or system turns; extract_html: pages
+    become their text. model: whose price the result is given in. summarizer: any function of a text and a number of sentences."""
 
     max_tokens: int = 0
     keep_recent: int = 0
@@ -151,6 +153,12 @@ class Options:
     ratio: float = 0.4
     least: int = 2
     most: int = 8
+    clean: bool = False
+    keep_code: bool = False
+    keep_json: bool = False
+    extract_html: bool = False
+    model: str = "gpt4"
+    summarizer: Callable[[str, int], str] | None = None
 
 
 PRESETS = {
@@ -184,6 +192,7 @@ def compact_turns(turns: list[dict], o: Options) -> list[dict]:
     from ..lexicon import catalogue
     from .compress import _syntactic_one
 
+    shorter = o.summarizer or textrank
     stop = catalogue()["eng"].function_words
     keep = [re.compile(p, re.IGNORECASE) for p in o.must_keep if _compiles(p)]
     blocks: list[dict] = []
@@ -206,7 +215,7 @@ def compact_turns(turns: list[dict], o: Options) -> list[dict]:
     for b in blocks:
         if b["discourse"] and b["text"] and o.summarize:
             b["k"] = min(o.most, max(o.least, int(b["n"] * o.ratio + 0.5)))
-            b["text"], b["action"] = textrank(b["original"], b["k"]), "summarized"
+            b["text"], b["action"] = shorter(b["original"], b["k"]), "summarized"
         if o.compress_kept and b["text"] and not b["guard"]:
             b["text"], b["action"] = _syntactic_one(b["text"], "eng"), "summarized+compressed" if b["action"] == "summarized" else "compressed"
     if o.max_tokens:
@@ -222,7 +231,7 @@ def compact_turns(turns: list[dict], o: Options) -> list[dict]:
                 i = max(able, key=lambda i: (sizes[i], -i))
                 b = blocks[i]
                 b["k"] -= 1
-                b["text"], b["action"] = textrank(b["original"], b["k"]), "summarized"
+                b["text"], b["action"] = shorter(b["original"], b["k"]), "summarized"
             else:
                 raw = [i for i in free if "compressed" not in blocks[i]["action"]]
                 i = max(raw, key=lambda i: (sizes[i], -i)) if raw else free[0]
@@ -255,7 +264,7 @@ def render(blocks: list[dict]) -> str:
     return "\n\n".join(out)
 
 
-COMPACTED = "text string, original_tokens long, compacted_tokens long, within_budget boolean, n_blocks long, n_summarized long, n_dropped long, trace string"
+COMPACTED = "text string, original_tokens long, compacted_tokens long, saved_usd double, within_budget boolean, n_blocks long, n_summarized long, n_dropped long, trace string"
 
 
 def compact(turns: DataFrame, options: Options | str = "default", conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -263,6 +272,9 @@ def compact(turns: DataFrame, options: Options | str = "default", conv: str = "c
     are put together by one aggregation, and Arrow batches do the rest."""
     o = PRESETS[options] if isinstance(options, str) else options
     kind = dict(turns.dtypes)[conv]
+    usd = float(PRICES.get(o.model, "0")) / 1000
+    if o.clean or o.extract_html:
+        turns = cleaned(turns, o, role, text)
     rows = turns.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")))).alias("turns"))
 
     def run(batches: Iterator) -> Iterator:
@@ -276,12 +288,28 @@ def compact(turns: DataFrame, options: Options | str = "default", conv: str = "c
                 before = sum(count_tokens(t["text"] or "") for t in ts)
                 after = sum(count_tokens(b["text"]) for b in blocks)
                 count = lambda a: sum(a in b["action"] for b in blocks)
-                out.append((key, made, before, after, not o.max_tokens or after <= o.max_tokens, len(blocks), count("summarized"), count("dropped"), ",".join(b["action"] for b in blocks)))
+                out.append((key, made, before, after, round(max(0, before - after) * usd, 6), not o.max_tokens or after <= o.max_tokens, len(blocks), count("summarized"), count("dropped"), ",".join(b["action"] for b in blocks)))
             yield pd.DataFrame(out, columns=[conv, *(x.split()[0] for x in COMPACTED.split(", "))])
 
     return rows.mapInPandas(run, f"{conv} {kind}, {COMPACTED}")
 
 
+def cleaned(turns: DataFrame, o: Options, role: str = "role", text: str = "text") -> DataFrame:
+    """Turns without markup, as the options have it. Critical and system turns stay as they are where these are kept."""
+    from .route import content_type, html_text, markdown_text
+    from .scan import safety
+
+    made = markdown_text(text, o.keep_code, o.keep_json) if o.clean else F.col(text)
+    if o.extract_html:
+        made = F.when(content_type(text) == "Html", html_text(text, entities=False)).otherwise(made)
+    guard = F.lit(False)
+    if o.respect_safety:
+        guard = guard | (safety(text)["level"] == "Critical")
+    if o.keep_system:
+        guard = guard | F.coalesce(F.lower(role) == "system", F.lit(False))
+    return turns.withColumn(text, F.when(F.col(text).isNull() | guard, F.col(text)).otherwise(made))
+
+
 def memory_notes(docs: DataFrame, key: str = "conv_id", text: str = "text", k: int = 5, words: int = 10) -> DataFrame:
     """key, summary and keywords of a text: what is worth to be remembered of it."""
     from .rank import keywords, summary

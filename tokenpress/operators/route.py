@@ -5,12 +5,13 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, text_or_empty, token_count
+from ..functions.text import blank, let, text_or_empty, token_count
 
 HTML_MARKS = ("<html", "<!doctype", "<body", "<div", "<p>")
 CODE_MARKS = ("{", "}", ";", "=>", "->", "def ", "function ", "class ", "import ", "#include", "public ", "private ")
@@ -95,19 +96,52 @@ def fold_lines(lines: DataFrame, key: str = "log_id", no: str = "no", line: str
     return d.select(key, no, shown.alias(line), F.when(F.col("run") >= least, F.col("run")).otherwise(1).cast("bigint").alias("run"))
 
 
-def fold_fuzzy(lines: list[str], least: int = 3, distance: int = 18) -> list[str]:
-    """As fold_lines, with near-duplicates of a run's first line folded too; for one log."""
+def fold_fuzzy_lines(lines: DataFrame, key: str = "log_id", no: str = "no", line: str = "line", least: int = 3, distance: int = 18) -> DataFrame:
+    """As fold_lines, with near-duplicates of a run's first line folded too (SimHash at most `distance` bits apart). What a line is
+    compared with depends on where the run before it ended, so a log's lines are read in order: sorted, and streamed through
+    one task, which holds no more of a log than the lines of a run that may still be too short."""
     from ..functions.sketch import hamming, simhash_text
 
-    noise = lambda x: re.sub(r"[A-Za-z]:\\[^\s,]+|/(?:[^\s/]+/){2,}[^\s]+", "/PATH", re.sub(r"\b0x[0-9a-fA-F]{4,}\b", "ADDR", re.sub(r"\b\d{4,}\b", "N", x)))
-    out, i = [], 0
-    while i < len(lines):
-        j, head = i + 1, simhash_text(lines[i])
-        while j < len(lines) and (noise(lines[i]) == noise(lines[j]) or hamming(head, simhash_text(lines[j])) <= distance):
-            j += 1
-        out += [f"{lines[i]}  (repeated {j - i}x)"] if j - i >= least else lines[i:j]
-        i = j
-    return out
+    noise = ((re.compile(r"\b\d{4,}\b"), "N"), (re.compile(r"\b0x[0-9a-fA-F]{4,}\b"), "ADDR"), (re.compile(r"[A-Za-z]:\\[^\s,]+|/(?:[^\s/]+/){2,}[^\s]+"), "/PATH"))
+
+    def bare(x: str) -> str:
+        for p, to in noise:
+            x = p.sub(to, x)
+        return x
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        out: list[tuple] = []
+        first: list[tuple] = []  # the run's lines, at most `least`
+        state = {"key": None, "bare": "", "hash": 0, "n": 0}
+
+        def close() -> None:
+            if state["n"] >= least:
+                k, i, x = first[0]
+                out.append((k, i, f"{x}  (repeated {state['n']}x)", state["n"]))
+            else:
+                out.extend((*r, 1) for r in first)
+            first.clear()
+
+        for pdf in batches:
+            for k, i, x in zip(pdf[key], pdf[no], pdf[line]):
+                x = x or ""
+                same = bool(first) and k == state["key"] and (bare(x) == state["bare"] or hamming(state["hash"], simhash_text(x)) <= distance)
+                if not same:
+                    close()
+                    state.update(key=k, bare=bare(x), hash=simhash_text(x), n=0)
+                state["n"] += 1
+                if len(first) < least:
+                    first.append((k, i, x))
+            yield pd.DataFrame(out, columns=[key, no, line, "run"])
+            out.clear()
+        close()
+        yield pd.DataFrame(out, columns=[key, no, line, "run"])
+
+    kinds = dict(lines.dtypes)
+    d = lines.select(key, no, line).repartition(key).sortWithinPartitions(key, no)
+    return d.mapInPandas(run, f"{key} {kinds[key]}, {no} {kinds[no]}, {line} string, run bigint")
 
 
 def select_lines(lines: DataFrame, key: str = "log_id", no: str = "no", line: str = "line", most: int = 80, errors: int = 10, warnings: int = 5, context: int = 2) -> DataFrame:
@@ -188,9 +222,7 @@ def trim_diffs(diffs: DataFrame, key: str = "diff_id", text: str = "diff", conte
         .when(F.col("line").startswith("+"), "add").when(F.col("line").startswith("-"), "delete").otherwise("context")
     )
     upto = Window.partitionBy(key).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    # Headers in a row belong together.
-    d = d.withColumn("kind", kind)
-    d = d.withColumn("_f", F.sum(((F.col("kind") == "file") & (F.coalesce(F.lag("kind").over(Window.partitionBy(key).orderBy("no")), F.lit("")) != "file")).cast("int")).over(upto))
+    d = d.withColumn("kind", kind).withColumn("_f", F.sum((kind == "file").cast("int")).over(upto))
     d = d.withColumn("_h", F.sum((F.col("kind") == "hunk").cast("int")).over(Window.partitionBy(key, "_f").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)))
     hunk = Window.partitionBy(key, "_f", "_h")
     changed = F.col("kind").isin("add", "delete")
@@ -233,16 +265,19 @@ def html_text(text: Column | str, entities: bool = True) -> Column:
 
 # Markdown
 
+JSON_OBJECT = r"\{[^{}]*\"[^\"{}]*\"\s*:[^{}]*\}|\[[^\[\]{}]*\"[^\"]*\"\s*:[^\[\]{}]*\]"
+
 
 def markdown_text(text: Column | str, keep_code: bool = False, keep_json: bool = False) -> Column:
     """Prose of a chat message: front matter, JSON, HTML, images, links, code, rules, headings, emphasis, quotes and list marks go, in
-    this order. Objects in brackets go from the inside out; four rounds are enough for any nesting that chats have, and a text
-    with deeper ones keeps their outer brackets."""
+    this order. Objects in brackets go from the inside out, all of them: a round for each level that a text has, counted by its
+    deepest run of open brackets."""
     t = F.regexp_replace(text_or_empty(text), r"(?ms)^---\s*$.*?^---\s*$", "")
     t = F.regexp_replace(t, r"(?is)```json\s*(.*?)```", "$1" if keep_json else "")
     if not keep_json:
-        for _ in range(4):
-            t = F.regexp_replace(t, r"\{[^{}]*\"[^\"{}]*\"\s*:[^{}]*\}|\[[^\[\]{}]*\"[^\"]*\"\s*:[^\[\]{}]*\]", "")
+        inner = lambda x: F.regexp_replace(x, JSON_OBJECT, "")
+        rounds = let(t, lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(F.regexp_count(x, F.lit(r"[{\[]")), F.lit(1))), x, lambda a, _: F.when(a.rlike(JSON_OBJECT), inner(a)).otherwise(a)))
+        t = F.when(F.contains(t, F.lit('"')), rounds).otherwise(t)
     t = F.regexp_replace(t, r"(?is)<(script|style)\b.*?</\1>", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>|</(?:p|div|tr|li|h[1-6]|table)>", "\n"), r"</?[A-Za-z][^>]*>", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"!\[[^\]]*\]\([^)]*\)", ""), r"\[([^\]]+)\]\([^)]*\)", "$1")

@@ -193,6 +193,11 @@ def symbols(files: DataFrame, path: str = "path", code: str = "code") -> DataFra
     return d.select(path, (F.col("no") + 1).alias("line_no"), F.explode(F.filter(kinds, lambda s: s["name"] != "")).alias("s")).select(path, "line_no", "s.*")
 
 
+def symbol_counts(files: DataFrame, path: str = "path", code: str = "code") -> DataFrame:
+    """path, kind, n (declarations) and names (distinct ones)."""
+    return symbols(files, path, code).groupBy(path, "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"))
+
+
 STEER = "<!-- steering -->"
 STEERING = {1: "Be brief.", 2: "Skip introductions and repetition.", 3: "Answer with code or facts only."}
 

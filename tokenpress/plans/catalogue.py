@@ -1,6 +1,6 @@
 """All queries on the library's own operators, by name, and the SQL that checks them."""
 
-from . import records, texts
+from . import derived, records, texts
 
-QUERIES: dict = texts.QUERIES | records.QUERIES
-ORACLE_SQL: dict[str, str] = texts.ORACLE_SQL | records.ORACLE_SQL
+QUERIES: dict = texts.QUERIES | records.QUERIES | derived.QUERIES
+ORACLE_SQL: dict[str, str] = texts.ORACLE_SQL | records.ORACLE_SQL | derived.ORACLE_SQL

@@ -53,14 +53,17 @@ def content_type(spark, sf_dir):
     return d.select("id", route.content_type("text").alias("kind"))
 
 
-def _html_sql(x: str) -> str:
+XML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def _html_sql(x: str, entities=XML_ENTITIES) -> str:
     t = f"regexp_replace(coalesce({x}, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g')"
     for n in range(1, 7):
         t = f"regexp_replace({t}, '(?i)<h{n}(?:\\s[^>]*)?>', chr(10) || '{'#' * n} ', 'g')"
     t = f"regexp_replace({t}, '(?i)</?(?:p|div|section|article|header|footer|main|nav|ul|ol|table|tr|blockquote|pre|h[1-6])(?:\\s[^>]*)?>|<br\\s*/?>', chr(10), 'g')"
     t = f"regexp_replace({t}, '(?i)<li(?:\\s[^>]*)?>', chr(10) || '- ', 'g')"
     t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for a, b in entities:
         t = f"replace({t}, {q.lit(a)}, {q.lit(b)})"
     t = f"regexp_replace(regexp_replace({t}, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')"
     return f"regexp_replace(regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
@@ -71,16 +74,11 @@ def html_text(spark, sf_dir):
     return docs(spark, sf_dir, "pages").select("page_id", route.html_text("html", entities=False).alias("text"))
 
 
-@query()
+@query(f"SELECT page_id, {_html_sql('html', (('&copy;', '©'), ('&middot;', '·'), *XML_ENTITIES[:4], ('&nbsp;', chr(160)), XML_ENTITIES[5]))} AS text FROM pages")
 def html_text_all_entities(spark, sf_dir):
     return docs(spark, sf_dir, "pages").select("page_id", route.html_text("html").alias("text"))
 
 
-@query()
-def markdown_clean(spark, sf_dir):
-    return docs(spark, sf_dir, "conversations").select("conv_id", "turn", route.markdown_text("text").alias("text"))
-
-
 @query("""WITH k AS (SELECT *, CASE WHEN length(text) >= 50 THEN substr(sha256(text), 1, 16) END AS k FROM conversations), f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, k) AS f FROM k)
     SELECT conv_id, turn, CASE WHEN k IS NOT NULL AND turn - f > 3 THEN f END AS duplicate_of, CASE WHEN k IS NOT NULL AND turn - f > 3 THEN '[duplicate of message #' || f || ']' ELSE text END AS new_text,
            (CASE WHEN k IS NOT NULL AND turn - f > 3 THEN greatest(1, length(text) // 4) ELSE 0 END)::BIGINT AS wasted FROM f""")
@@ -132,12 +130,6 @@ def memory_recall(spark, sf_dir):
     return chat.recall(memory_note(spark, sf_dir), "the thing with that")
 
 
-@query()
-def chat_parse(spark, sf_dir):
-    d = chat.as_json(docs(spark, sf_dir, "conversations")).select("conv_id", chat.parse("messages").alias("c"))
-    return d.select("conv_id", "c.format", F.explode("c.turns").alias("t")).select("conv_id", "format", "t.*")
-
-
 @query()
 def chat_compact(spark, sf_dir):
     return chat.compact(docs(spark, sf_dir, "conversations"), chat.with_options("agent_memory", max_tokens=300))
@@ -222,26 +214,40 @@ def log_classify(spark, sf_dir):
 _NOISE = r"regexp_replace(regexp_replace(regexp_replace(line, '\b\d{4,}\b', 'N', 'g'), '\b0x[0-9a-fA-F]{4,}\b', 'ADDR', 'g'), '[A-Za-z]:\\[^\s,]+|/(?:[^\s/]+/){2,}[^\s]+', '/PATH', 'g')"
 
 
-@query(f"""WITH {_LOG}, n AS (SELECT *, {_NOISE} AS n FROM lines), c AS (SELECT *, (n IS DISTINCT FROM lag(n) OVER w OR row_number() OVER w = 1)::INT AS new FROM n WINDOW w AS (PARTITION BY log_id ORDER BY no)),
-    r AS (SELECT *, sum(new) OVER (PARTITION BY log_id ORDER BY no) AS r FROM c), s AS (SELECT *, count(*) OVER (PARTITION BY log_id, r) AS run FROM r)
-    SELECT log_id, no, CASE WHEN run >= 3 THEN line || '  (repeated ' || run || 'x)' ELSE line END AS line, CASE WHEN run >= 3 THEN run ELSE 1 END::BIGINT AS run FROM s WHERE run < 3 OR new = 1""")
+def _fold_sql(lines: str) -> str:
+    """CTEs up to folded."""
+    return f"""n AS (SELECT *, {_NOISE} AS n FROM {lines}), c0 AS (SELECT *, (n IS DISTINCT FROM lag(n) OVER w OR row_number() OVER w = 1)::INT AS new FROM n WINDOW w AS (PARTITION BY log_id ORDER BY no)),
+        r0 AS (SELECT *, sum(new) OVER (PARTITION BY log_id ORDER BY no) AS r FROM c0), s0 AS (SELECT *, count(*) OVER (PARTITION BY log_id, r) AS run FROM r0),
+        folded AS (SELECT log_id, no, CASE WHEN run >= 3 THEN line || '  (repeated ' || run || 'x)' ELSE line END AS line, CASE WHEN run >= 3 THEN run ELSE 1 END::BIGINT AS run FROM s0 WHERE run < 3 OR new = 1)"""
+
+
+def _select_sql(lines: str) -> str:
+    """CTEs up to chosen."""
+    return f"""c AS (SELECT log_id, no, line, {_LEVEL} AS level FROM {lines}),
+        s AS (SELECT *, CASE level WHEN 'error' THEN 1.0 WHEN 'stack' THEN 0.8 WHEN 'summary' THEN 0.9 WHEN 'warn' THEN 0.5 WHEN 'info' THEN 0.1 WHEN 'debug' THEN 0.05 ELSE 0 END AS score,
+              row_number() OVER (PARTITION BY log_id ORDER BY no) AS i, count(*) OVER (PARTITION BY log_id) AS total, row_number() OVER (PARTITION BY log_id, level ORDER BY no) AS nth FROM c),
+        k AS (SELECT *, CASE WHEN i = 1 OR i = total THEN 0 WHEN level = 'error' AND nth <= 10 THEN 1 WHEN level = 'summary' THEN 2 WHEN level = 'warn' AND nth <= 5 THEN 3 ELSE 4 END AS rk FROM s),
+        p AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY rk, score DESC, no) AS place FROM k), st AS (SELECT *, rk < 4 OR place <= 80 AS stays FROM p),
+        a AS (SELECT *, max((stays AND level IN ('error', 'stack'))::INT) OVER (PARTITION BY log_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS around FROM st),
+        w AS (SELECT *, row_number() OVER (PARTITION BY log_id, lower({_NOISE}) ORDER BY NOT stays, rk, place) AS n FROM a WHERE stays OR around OR total <= 80),
+        chosen AS (SELECT log_id, no, line, level FROM w WHERE level <> 'warn' OR n = 1 OR total <= 80)"""
+
+
+_SEVEN = "seven AS (SELECT no % 7 AS log_id, no, line FROM lines)"
+
+
+@query(f"WITH {_LOG}, {_fold_sql('lines')} SELECT * FROM folded")
 def log_fold(spark, sf_dir):
     return route.fold_lines(log_lines(spark, sf_dir))
 
 
-@query(f"""WITH {_LOG}, c AS (SELECT no % 7 AS log_id, no, line, {_LEVEL} AS level FROM lines),
-    s AS (SELECT *, CASE level WHEN 'error' THEN 1.0 WHEN 'stack' THEN 0.8 WHEN 'summary' THEN 0.9 WHEN 'warn' THEN 0.5 WHEN 'info' THEN 0.1 WHEN 'debug' THEN 0.05 ELSE 0 END AS score,
-          row_number() OVER (PARTITION BY log_id ORDER BY no) AS i, count(*) OVER (PARTITION BY log_id) AS total, row_number() OVER (PARTITION BY log_id, level ORDER BY no) AS nth FROM c),
-    k AS (SELECT *, CASE WHEN i = 1 OR i = total THEN 0 WHEN level = 'error' AND nth <= 10 THEN 1 WHEN level = 'summary' THEN 2 WHEN level = 'warn' AND nth <= 5 THEN 3 ELSE 4 END AS rk FROM s),
-    p AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY rk, score DESC, no) AS place FROM k), st AS (SELECT *, rk < 4 OR place <= 80 AS stays FROM p),
-    a AS (SELECT *, max((stays AND level IN ('error', 'stack'))::INT) OVER (PARTITION BY log_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS around FROM st),
-    w AS (SELECT *, row_number() OVER (PARTITION BY log_id, lower({_NOISE}) ORDER BY NOT stays, rk, place) AS n FROM a WHERE stays OR around OR total <= 80)
-    SELECT log_id, no, line, level FROM w WHERE level <> 'warn' OR n = 1 OR total <= 80""")
+@query(f"WITH {_LOG}, {_SEVEN}, {_select_sql('seven')} SELECT * FROM chosen")
 def log_select(spark, sf_dir):
     return route.select_lines(log_lines(spark, sf_dir).withColumn("log_id", F.col("no") % 7))
 
 
-@query()
+@query(f"""WITH {_LOG}, {_SEVEN}, {_fold_sql('seven')}, {_select_sql('folded')}, g AS (SELECT *, no > lag(no) OVER (PARTITION BY log_id ORDER BY no) + 1 AS gap FROM chosen)
+    SELECT log_id, string_agg(CASE WHEN gap THEN '... [lines omitted] ...' || chr(10) ELSE '' END || line, chr(10) ORDER BY no) AS text FROM g GROUP BY log_id""")
 def log_condensed(spark, sf_dir):
     folded = route.fold_lines(log_lines(spark, sf_dir).withColumn("log_id", F.col("no") % 7))
     return route.render_lines(route.select_lines(folded))
@@ -263,80 +269,6 @@ def grep_top_matches(spark, sf_dir):
     return route.top_matches(route.grep_matches(d, query="the onand"))
 
 
-DIFF = """diff --git a/app/main.py b/app/main.py
-index 111..222 100644
---- a/app/main.py
-+++ b/app/main.py
-@@ -1,12 +1,13 @@
- import os
- one = 1
- two = 2
- three = 3
--password = None
-+password = "secret-%d"
-+value = null ?? 3
- four = 4
- five = 5
- six = 6
- seven = 7
- eight = 8
-@@ -40,4 +41,4 @@
- nine = 9
- ten = 10
- eleven = 11
- twelve = 12
-"""
-
-
-def _diffs(spark) -> DataFrame:
-    return spark.range(20).select(F.col("id").alias("diff_id"), F.format_string(DIFF, "id").alias("diff"))
-
-
-@query()
-def diff_trim(spark, sf_dir):
-    return route.trim_diffs(_diffs(spark))
-
-
-@query()
-def diff_review(spark, sf_dir):
-    return scan.review(_diffs(spark))
-
-
-@query()
-def commit_suggest(spark, sf_dir):
-    return scan.commits(_diffs(spark))
-
-
-CODE = """// entry point
-public class Greeter {
-    /* says hello */
-    public string Name { get; set; }
-    public void Hello(int n) {
-        for (int i = 0; i < n; i++) { Console.WriteLine("hello " + Name + i); }
-    }
-}
-"""
-
-
-def _code(spark) -> DataFrame:
-    return spark.createDataFrame([("a.cs", CODE), ("b.py", "# says\ndef hello(n):\n    x = n + 1\n    return x\n\n\n\nclass A:\n    pass\n")], "path string, code string")
-
-
-@query()
-def code_strip(spark, sf_dir):
-    return _code(spark).select("path", route.strip_code("code").alias("code"))
-
-
-@query()
-def code_skeleton(spark, sf_dir):
-    return _code(spark).select("path", route.skeleton("code").alias("code"))
-
-
-@query()
-def code_symbols(spark, sf_dir):
-    return scan.symbols(_code(spark))
-
-
 @query("SELECT doc_id, text || chr(10) || chr(10) || '<!-- steering -->' || chr(10) || 'Be brief. Skip introductions and repetition.' AS shaped, regexp_replace(text, '\\s+$', '') AS plain FROM documents")
 def output_shaper(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", scan.shape(F.col("text"), 2).alias("shaped"))

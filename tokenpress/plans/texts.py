@@ -51,7 +51,14 @@ def word_tokens_per_doc(spark, sf_dir):
     return d.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", "\x01")).alias("digest"))
 
 
-@query()
+_PIECES = "https?://[^\\s]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}|[\\p{L}\\p{M}]+|\\p{N}+|\\r?\\n|[^\\S\\n]+|[^\\s]"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {q.lit(_PIECES)}) AS l FROM documents)),
+    c AS (SELECT *, CASE WHEN regexp_matches(x, '^https?://[^\s]+$') THEN 'Url' WHEN regexp_matches(x, '^{text.EMAIL}$') THEN 'Email' WHEN regexp_matches(x, '^[\p{{L}}\p{{M}}]+$') THEN 'Word' WHEN regexp_matches(x, '^\p{{N}}+$') THEN 'Number'
+        WHEN regexp_matches(x, '^\r?\n$') THEN 'Newline' WHEN regexp_matches(x, '^\s+$') THEN 'Whitespace' WHEN regexp_matches(x, '^{text.EMOJI}+$') THEN 'Emoji' ELSE 'Punctuation' END AS category FROM p),
+    r AS (SELECT *, category = 'Punctuation' AND x IS NOT DISTINCT FROM lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS again FROM c)
+    SELECT doc_id, category, count(*) FILTER (WHERE NOT again)::BIGINT AS n, sum(length(x))::BIGINT AS chars FROM r GROUP BY doc_id, category""")
 def token_categories(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", F.explode(text.pieces("text")).alias("p"))
     return d.groupBy("doc_id", F.col("p.category").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("p.value")).alias("chars"))
@@ -87,6 +94,9 @@ for _name, _sql in (
     QUERIES[f"{_name}_filter"] = _level(_name)
     ORACLE_SQL[f"{_name}_filter"] = _level_sql(_sql)
 QUERIES["syntactic_filter"] = _level("syntactic")
+QUERIES["none_filter"] = _level("none")
+ORACLE_SQL["none_filter"] = f"""WITH {q.hits()}, r AS (SELECT doc_id, {q.detected()} AS iso3, coalesce(text, '') AS compressed, len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> ''))::BIGINT AS original_tokens FROM h),
+    t AS (SELECT *, original_tokens AS compressed_tokens FROM r) SELECT *, {q.savings()} FROM t"""
 
 
 @query(f"""WITH {q.tokens()},
@@ -220,7 +230,17 @@ def bm25_weighted(spark, sf_dir):
     return rank.retrieve(docs(spark, sf_dir), {"the": 0.5, "con": 2.0, "erste": 1.5, "que": 0.25}, 20)
 
 
-@query()
+_RM3 = f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS t FROM documents), tok AS (SELECT doc_id, len(t) AS dl, unnest(t) AS w FROM w),
+    st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM w), tf AS (SELECT doc_id, dl, w, count(*)::DOUBLE AS tf FROM tok GROUP BY ALL), df AS (SELECT w, count(*)::DOUBLE AS df FROM tf GROUP BY w),
+    part AS (SELECT doc_id, w, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (1 + tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))) AS s FROM tf JOIN df USING (w), st),
+    asked AS (SELECT unnest([{', '.join(map(q.lit, QUERY.split()))}]) AS w),
+    best AS (SELECT doc_id, round(sum(s), 6) AS score FROM part WHERE w IN (FROM asked) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10),
+    model AS (SELECT w, round(sum(score / total / dl), 12) AS p FROM tok JOIN (SELECT doc_id, score, sum(score) OVER () AS total FROM best) USING (doc_id) WHERE w NOT IN (FROM asked) GROUP BY w ORDER BY p DESC, w LIMIT 10),
+    wanted AS (SELECT w, 0.6::DOUBLE / {len(QUERY.split())} AS weight FROM asked UNION ALL SELECT w, 0.4::DOUBLE * p / sum(p) OVER () FROM model)
+    SELECT doc_id, round(sum(weight * s), 6) AS score FROM part JOIN wanted USING (w) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@query(_RM3)
 def rm3_topk(spark, sf_dir):
     return rank.retrieve_rm3(docs(spark, sf_dir), QUERY, 20)
 
@@ -287,7 +307,15 @@ def simhash64(spark, sf_dir):
     return docs(spark, sf_dir, "benchmark").select("item_id", sketch.simhash("text").alias("simhash"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}]+') AS w FROM documents),
+    u AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE w END) AS u FROM w),
+    h AS (SELECT u, list_reduce([14695981039346656037::HUGEINT] || list_transform(string_split(u, ''), lambda c: unicode(c)::HUGEINT), lambda a, c: (xor(a, c) * 1099511628211) % 18446744073709551616) AS h FROM (SELECT DISTINCT u FROM u)),
+    c AS (SELECT doc_id, h, count(*) AS c FROM u JOIN h USING (u) GROUP BY ALL),
+    v AS (SELECT doc_id, b, sum(CASE WHEN (h // (1::HUGEINT << b)) % 2 = 1 THEN c ELSE -c END) AS v FROM c, (SELECT unnest(range(64))::INT AS b) GROUP BY doc_id, b),
+    s AS (SELECT doc_id, sum(CASE WHEN v > 0 THEN 1::HUGEINT << b ELSE 0 END) AS f FROM v GROUP BY doc_id), a AS (SELECT doc_id, coalesce(f, 0::HUGEINT) AS f FROM documents LEFT JOIN s USING (doc_id)),
+    one AS (SELECT f, min(doc_id) AS k FROM a GROUP BY f)
+    SELECT least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, bit_count(xor(x.f, y.f))::BIGINT AS distance FROM one x JOIN one y ON x.f < y.f AND bit_count(xor(x.f, y.f)) <= 3
+    UNION ALL SELECT k, doc_id, 0 FROM a JOIN one USING (f) WHERE doc_id <> k""")
 def simhash_pairs(spark, sf_dir):
     """Pairs of the smallest documents of their fingerprints, and each other document with the smallest of its own, at distance 0."""
     # Known to be never null, no join filters it: all sides share one pass over the texts.
@@ -295,10 +323,25 @@ def simhash_pairs(spark, sf_dir):
     return sketch.similar_pairs(d).unionByName(sketch.same_pairs(d))
 
 
+LATIN, CHINESE = "abcdefghijklmnopqrstuvw", "我们学习自然语言处理北京大的生今天没有来中国"
+
+
 @query()
 def han_segment(spark, sf_dir):
-    rows = [(1, "我们学习自然语言处理"), (2, "北京大学的学生今天没有来 OK"), (3, "")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", sentences.han_words("text").alias("words")).select("id", F.array_join("words", "|").alias("words"))
+    """Texts with each letter put as a Chinese character, segmented."""
+    d = docs(spark, sf_dir).select("doc_id", F.translate(F.lower(text.text_or_empty("text")), LATIN, CHINESE).alias("text"))
+    return d.select("doc_id", F.array_join(sentences.han_words("text"), "|").alias("words"))
+
+
+@query(r"SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{Nd}_]+'), lambda x: length(x) >= 2) AS t FROM documents)")
+def json_terms_per_doc(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.json_terms("text").alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}]+') AS t FROM documents)
+    SELECT doc_id, round((list_has_any(t, ['report', 'reports'])::INT + list_contains(t, 'erste')::INT + list_contains(t, 'que')::INT + list_contains(t, 'onand')::INT) / 4.0::DOUBLE, 6) AS score FROM c ORDER BY score DESC, doc_id LIMIT 10""")
+def relevance_topk(spark, sf_dir):
+    return rank.top(docs(spark, sf_dir).select("doc_id", rank.relevance("text", "the reports erste que onand").alias("score")), 10)
 
 
 @query("SELECT doc_id, len(t)::BIGINT AS n, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' ')) AS t FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\p{M}]+') AS w FROM documents) WHERE len(w) >= 3)")

@@ -30,6 +30,18 @@ def test_routes_never_grow(spark):
     assert got[0].strategy.startswith("json:") and got[3].strategy == "html+prose" and "<" not in got[3].routed
 
 
+def test_results_are_known_again(spark, tmp_path):
+    rows = [(1, "Plain words of the text that are here"), (2, "Plain words of the text that are here"), (3, None), (4, "x,y\n1,2\n3,4")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda df: sorted(map(str, df.select("doc_id", "content_type", "strategy", "routed", "before", "after").collect()))
+    folder = f"file://{tmp_path}/known"
+    assert key(route.route_known(d, folder)) == key(route.route(d)) and spark.read.parquet(folder).count() == 3
+    more = d.unionByName(spark.createDataFrame([(5, "Plain words of the text that are here"), (6, "other")], d.schema))
+    assert key(route.route_known(more, folder)) == key(route.route(more)) and spark.read.parquet(folder).count() == 4
+    route.route_known(d, folder, profile="aggressive")
+    assert spark.read.parquet(folder).count() == 7
+
+
 def lines(spark, rows):
     return spark.createDataFrame([(1, i, x) for i, x in enumerate(rows)], "log_id int, no int, line string")
 

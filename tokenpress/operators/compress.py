@@ -252,10 +252,14 @@ _PER_ROW = {"semantic": semantic, "aggressive": aggressive}
 def with_compressed(docs: DataFrame, level: str, text: str = "text", iso3: str | None = None) -> DataFrame:
     """Adds iso3 and compressed, for the levels of one projection."""
     d = detect(docs, text) if not iso3 else docs.withColumn("iso3", F.col(iso3))
-    made = light(text, F.col("iso3")) if level == "light" else let(_annotated(word_tokens(text), F.col("iso3")), _PER_ROW[level])
-    return d.withColumn("compressed", F.when(blank(text), "").otherwise(made))
+    return d.withColumn("compressed", level_of(level, text, F.col("iso3")))
 
 
+def level_of(level: str, text: str, iso3: Column) -> Column:
+    """The text at one of the levels light, semantic and aggressive."""
+    made = light(text, iso3) if level == "light" else let(_annotated(word_tokens(text), iso3), _PER_ROW[level])
+    return F.when(blank(text), "").otherwise(made)
+
 
 def compress(docs: DataFrame, level: str = "semantic", key: str = "doc_id", text: str = "text", iso3: str | None = None, counter: Callable[[Column], Column] = token_count) -> DataFrame:
     """key, iso3, compressed, original_tokens, compressed_tokens, saved_tokens, efficiency (percent), energy_mwh, co2_mg.

@@ -488,7 +488,7 @@ PROFILES = {"light": Profile(25, "light"), "balanced": Profile(15, "semantic"),
 
 def route(docs: DataFrame, key: str = "doc_id", text: str = "text", profile: str = "balanced", query: str = "") -> DataFrame:
     """key, content_type, strategy, routed, before and after (tokens): each text by the condenser of its kind. A result that isn't smaller
-    is dropped for the text. Kinds are told once; each branch then filters its own rows and columns, and the branches are put
+    is dropped for the text. Each branch tells the kinds anew and filters its own rows and columns, and the branches are put
     together: rows of a kind never run through another kind's operators."""
     p = PROFILES[profile]
     d = docs.select(key, F.col(text).alias("text")).withColumn("kind", content_type("text"))
@@ -527,6 +527,24 @@ def _prose(rows: DataFrame, key: str, level: str, how: str, text: str = "text")
     return with_compressed(rows, level, text).select(key, "kind", "text", F.col("compressed").alias("routed"), F.lit(how).alias("how"))
 
 
+def route_known(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", profile: str = "balanced", query: str = "") -> DataFrame:
+    """As route, with a table of results in the folder: equal texts are worked on once, and never again by later calls with the same
+    profile and query. A text is known by its SHA-256; only hashes are shuffled to find which texts are new, and the first row of
+    each does the work. A folder that doesn't exist yet is made."""
+    spark = docs.sparkSession
+    name = F.sha2(F.concat_ws("\x01", F.lit(profile), F.lit(query), F.coalesce(F.col(text), F.lit("\x02"))), 256)
+    d = docs.select(key, F.col(text).alias("text"), name.alias("_h"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    schema = "_h string, content_type string, strategy string, routed string, before bigint, after bigint"
+    known = lambda: spark.read.schema(schema).parquet(folder).dropDuplicates(["_h"])  # a task that ran twice may have left a result twice
+    first = d.groupBy("_h").agg(F.min(key).alias(key))
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        first = first.join(known().select("_h"), "_h", "left_anti")
+    new = d.join(first, ["_h", key]).dropDuplicates(["_h"])
+    route(new, "_h", "text", profile, query).write.mode("append").parquet(folder)
+    return d.select(key, "_h").join(known(), "_h").drop("_h")
+
+
 def search_one(text: str, query: str = "", per_file: int = 5, files: int = 15) -> str:
     groups: dict[str, list[tuple[int, int, str, float]]] = {}
     wanted = {w for w in query.lower().split() if len(w) > 2}

@@ -534,7 +534,7 @@ def test_warc(spark, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, capture_id string")
     got = sorted(map(tuple, warc.round_trip(pages, f"file://{tmp_path}/w").collect()), key=str)
     want = []
-    for i, _, h, _ in {r[:1] + r[2:3]: r for r in rows}.values():
+    for i, _, h, _ in rows:
         raw = (h or "").encode()
         first = min(r[0] for r in rows if (r[2] or "") == (h or "") and r[0] is not None)
         again = i != first

@@ -228,14 +228,20 @@ def round_trip(pages: DataFrame, folder: str | None = None, at_least: int = 0) -
 
     pages: page_id, url, html; other columns are ignored. Returns page_id, payload_bytes, payload_digest (bare base32 SHA-1),
     record_type, refers_to (page_id of the response). A null html is an empty payload; a null url gets a URN; a null page_id
-    counts as the largest. Rows equal in page_id and html are one capture. An empty table gives no rows."""
+    counts as the largest. Rows equal in page_id and html are one capture, whose records stand in the archives as often as there are
+    such rows, and come back as many rows. An empty table gives no rows."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "archives")
     files = write(pages, folder or f"{scratch.root}/warc", at_least)
-    captures = assemble(scratch.save(read(files, payload=False), "records"))
+    records = scratch.save(read(files, payload=False), "records")
+    captures = assemble(records)
+    # Of captures that several rows share; a table, as few or many as they are.
+    times = records.filter(F.col("type").isin("response", "revisit")).groupBy(F.col("record_id").alias("capture_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     pages_ = F.transform("metadata", lambda m: F.try_element_at(m["metadata"], F.lit("page_id")))
     page = F.get(F.filter(pages_, lambda x: x.isNotNull()), F.lit(0)).cast("long")
     r = scratch.save(captures.filter("response is not null").select("capture_id", page.alias("page_id"), "response.*"), "captures")
     back = r.filter("type = 'revisit'").select("capture_id", "refers_to")
     back = back.join(r.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first")), "refers_to").select("capture_id", "first")
-    return r.join(scratch.save(back, "back"), "capture_id", "left").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("first").alias("refers_to"))
+    out = r.join(scratch.save(back, "back"), "capture_id", "left").join(scratch.save(times, "times"), "capture_id", "left")
+    out = out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.coalesce("_n", F.lit(1).cast("long")))))
+    return out.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("first").alias("refers_to"))

@@ -117,6 +117,40 @@ def test_repeated_bytes(spark, odd, hot, monkeypatch):
         assert sorted(got, key=str) == brute_bytes([r[:2] for r in rows], k)
 
 
+def suspects(unit, texts):
+    """Share of the regions whose minimiser is found elsewhere too."""
+    mini = repeats.regions(unit, texts)[3]
+    count = Counter(mini.tolist())
+    return sum(count[m] > 1 for m in mini.tolist()) / len(mini)
+
+
+def test_common_short_grams_make_no_candidates_of_words():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["the", "of", "and", "in", "to", "is", "an", "by"], k=400)).encode() for _ in range(60)]
+    grams = Counter(tuple(w[i : i + 4]) for w in (t.split() for t in texts) for i in range(397))
+    assert sum(n for n in grams.values() if n > 1) > 0.9 * sum(grams.values())
+    assert suspects(repeats.Words(50), texts) < 0.01
+
+
+def bucket(texts):
+    """Regions of one minimiser, as a bucket's task gets them; holders have growing ids."""
+    return [(7, b"%d" % i, i, 1, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_windows_of_a_bucket_by_words(alike, monkeypatch):
+    rng = random.Random(4)
+    text = lambda n: rng.choices(["aa", "b", "ccc", "d"], k=n)
+    shared = text(30)
+    texts = [text(i) + shared + text(9) for i in range(5)] + [text(40)]
+    if alike:  # equal hashes decide nothing
+        monkeypatch.setattr(substring, "run_hashes", lambda h, k: np.zeros(max(0, len(h) - k + 1), np.uint64))
+    out = substring._flag(12)(bucket([" ".join(t).encode() for t in texts]))
+    got = {(int(fp), at + i) for fp, at, run in zip(out["fp"], out["at"], out["run"]) for i in range(run)}
+    windows = [(tuple(t[p : p + 12]), i, p) for i, t in enumerate(texts) for p in range(len(t) - 11)]
+    assert got == {(i, p) for w, i, p in windows if min(j for v, j, _ in windows if v == w) < i} and got
+
+
 def test_repeated_text_is_returned(spark, odd):
     rows, d = odd
     for out in (substring.drop_repeated_windows(d, keep_text=True), suffix.drop_repeated_bytes(d, keep_text=True)):

@@ -6,28 +6,35 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import doc_id
-from .repeats import Words, as_runs, removed, word_bounds
+from .repeats import Words, as_runs, met_again, removed, run_hashes, word_bounds, word_hashes
 
 WINDOW = 50
 
 
 def _flag(k: int):
     def flag(rows: list[tuple]) -> dict:
-        """Sorts the windows of whole buckets; those whose sequence has a smaller holder are flagged."""
-        windows, flagged = [], []
-        for i, (_, _, low, _, text) in enumerate(rows):
-            a, b = word_bounds(np.frombuffer(text, np.uint8))
-            n = len(a) - k + 1
-            flagged.append(np.zeros(n, bool))
-            windows += [(text[x:y], low, i, p) for p, (x, y) in enumerate(zip(a[:n].tolist(), b[k - 1 :].tolist()))]
+        """Sorts the windows of whole buckets; those whose sequence has a smaller holder are flagged.
+
+        A window whose hash no other has is equal to none and needs no place in the order; equal strings decide, not hashes."""
+        whole = b" ".join(r[4] for r in rows)
+        buf = np.frombuffer(whole, np.uint8)
+        a, b = word_bounds(buf)
+        at = np.searchsorted(a, np.cumsum([0, *(len(r[4]) + 1 for r in rows)]))
+        n = np.diff(at) - k + 1
+        of = np.repeat(np.arange(len(rows)), n)
+        s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + at[of]
+        met = np.flatnonzero(met_again(run_hashes(word_hashes(buf, a, b), k)[s]))
+        lows = [r[2] for r in rows]
+        windows = [(whole[x:y], lows[i], p) for x, y, i, p in zip(a[s[met]].tolist(), b[s[met] + k - 1].tolist(), of[met].tolist(), met.tolist())]
         windows.sort()
+        flagged = np.zeros(len(s), bool)
         last, least = None, 0
-        for text, low, i, p in windows:
+        for text, low, p in windows:
             if text != last:
                 last, least = text, low
             elif low > least:
-                flagged[i][p] = True
-        return as_runs(rows, flagged)
+                flagged[p] = True
+        return as_runs(rows, np.split(flagged, np.cumsum(n)[:-1]))
 
     return flag
 

@@ -151,6 +151,32 @@ def test_windows_of_a_bucket_by_words(alike, monkeypatch):
     assert got == {(i, p) for w, i, p in windows if min(j for v, j, _ in windows if v == w) < i} and got
 
 
+def test_common_short_grams_make_no_candidates_of_bytes():
+    rng = random.Random(6)
+    phrases = [bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz ", k=48)) for _ in range(64)]
+    texts = [b"".join(rng.choices(phrases, k=25)) for _ in range(40)]
+    assert suspects(repeats.Bytes(400), texts) < 0.05
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_windows_of_a_bucket_by_bytes(alike, monkeypatch):
+    rng = random.Random(7)
+    text = lambda n: bytes(rng.choices(b"abc", k=n))
+    shared, k = text(150), 100
+    texts = [text(10 * i) + shared + text(40) for i in range(4)] + [text(300), text(20) + b"x" * 130]
+    ordered = []
+    sort = suffix.equal_suffixes
+    monkeypatch.setattr(suffix, "equal_suffixes", lambda t, starts, depth: ordered.append(len(starts)) or sort(t, starts, depth))
+    if alike:  # equal hashes decide nothing
+        monkeypatch.setattr(suffix, "run_hashes", lambda h, k: np.zeros(max(0, len(h) - k + 1), np.uint64))
+    out = suffix._flag(k)(bucket(texts))
+    got = {(int(fp), at + i) for fp, at, run in zip(out["fp"], out["at"], out["run"]) for i in range(run)}
+    windows = [(t[p : p + k], i, p) for i, t in enumerate(texts) for p in range(len(t) - k + 1)]
+    count = Counter(w for w, _, _ in windows)
+    assert got == {(i, p) for w, i, p in windows if count[w] > 1} and got
+    assert ordered == [len(windows) if alike else len(got)]
+
+
 def test_repeated_text_is_returned(spark, odd):
     rows, d = odd
     for out in (substring.drop_repeated_windows(d, keep_text=True), suffix.drop_repeated_bytes(d, keep_text=True)):

@@ -109,6 +109,23 @@ def test_han():
     assert sentences.segment_han("龘龘") == ["龘", "龘"]
 
 
+def test_results_are_made_by_slices(spark):
+    """What a batch of long texts becomes is never there as a whole."""
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, StringType
+
+    from tokenpress.functions import batches
+
+    run = batches.sliced(sentences.split_han, ArrayType(StringType()))
+    long = "我们学习自然语言处理x" * 5000
+    got = list(run(iter([pa.array([long] * 20 + ["a 龘", ""]), pa.array([], pa.string())])))
+    assert sum(map(len, got)) == 22 and max(map(len, got)) <= 3 and got[-2].to_pylist()[-2:] == [["a", "龘"], []]
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    d = spark.createDataFrame([("我们学习 ab, 龘",), (None,)], "t string").select(sentences.han_words("t").alias("w"))
+    assert [r.w for r in d.collect()] == [["我们", "学习", "ab", ",", "龘"], []]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == batches.BATCH_BYTES
+
+
 def test_simhash_text():
     a, b, c = "user 12 logged in from host alpha at noon", "user 13 logged in from host alpha at noon", "completely different words without anything shared"
     f = sketch.simhash_text

@@ -46,3 +46,17 @@ def test_plans_do_not_shuffle_texts(spark, sf_dir):
         assert not re.search(r"hashpartitioning|SinglePartition|CartesianProduct", plan) and plan.count("Exchange") <= 1, name
     plan = catalogue.QUERIES["lang_detect"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_texts_are_told_apart_once(spark, sf_dir):
+    """No filter that the optimizer infers repeats what is costly of a text."""
+    plan = catalogue.QUERIES["lang_scores"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 1
+
+
+def test_scores_are_rounded_as_in_sql(spark, tmp_path):
+    spark.createDataFrame([(1, "que " * 41 + "xx " * 599, "es", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalogue.QUERIES["lang_scores"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.iso3, r.score) for r in got) == sorted(c.execute(catalogue.ORACLE_SQL["lang_scores"]).fetchall())

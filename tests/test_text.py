@@ -75,6 +75,40 @@ def test_syntactic_keeps_the_last_verb():
     assert compress._syntactic_one("Of the.", "eng") == "Of"
 
 
+ODD = ["Ⅷ x² 3.5 ½ a\u00a0b. \u00a0Next İstanbul ΑΣ.Β ΟΔΟΣ", "l'été n’est PAS là… Où? Straße's", "emoji 🎉🎉 e\u0301té café-au-lait A1b2 -- 12,5 -,.", "没有 人 不好 学习 中国 bonjour", "Não é fácil. Gli amici non ci sono! Sehr freundlich, nicht wunderbar. Carefully, not awesome."]
+
+
+def test_words_are_as_expressions_tell_them(spark):
+    """What the worker keeps of tokens, against the column functions."""
+    from tokenpress.functions import words
+
+    every = [(i * 10 + j, k, t) for i, t in enumerate(TEXTS + ODD) for j, k in enumerate(catalogue())]
+    d = compress.with_tokens(spark.createDataFrame(every, "i int, iso3 string, text string"), iso3="iso3")
+    for r in d.collect():
+        found = words.tokens(r.text)
+        assert found == [t.text for t in r.tokens]
+        start = True
+        for w, t in zip(words.words(found, r.iso3), r.tokens):
+            assert (w.low, w.lemma, w.punct, w.number, w.stop, bool(w.ender), w.dull, w.guard[start]) == (t.low, t.lemma, t.punct, t.number, t.stop, t.ender, t.stop_lemma or t.generic, t.protected), (r.iso3, t)
+            content = not t.punct and (t.protected or not (t.number or t.stop_lemma))
+            hard = content and (t.protected or not (t.generic or t.describes or len(t.lemma) <= 1))
+            shown = t.text if t.protected or t.lemma == t.low else t.lemma
+            assert w.semantic[start] == (shown if content else None) and w.hard[start] == (shown if hard else None) and w.light == (not t.punct and (not t.stop or t.negation))
+            assert w.stays[start] == hard
+            start = t.ender
+    told = language.detect(spark.createDataFrame(list(enumerate(TEXTS + ODD)), "i int, text string")).collect()
+    assert [words.detected(words.tokens(r.text)) for r in told] == [r.iso3 for r in told]
+
+
+@pytest.mark.parametrize("name", ["semantic_filter", "aggressive_filter", "syntactic_filter", "custom_filter_categories"])
+def test_levels_look_tokens_up(spark, sf_dir, name):
+    """No expression asks each token of a text for each language, or whether it is a name."""
+    from tokenpress.plans import catalogue as plans
+
+    plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "hits_eng" not in plan
+
+
 def test_custom(spark):
     d = compress.with_tokens(spark.createDataFrame([(1, "the Cat saw 12 birds!")], "doc_id long, text string"))
     show = lambda **k: d.select(compress.custom(F.col("tokens"), **k).alias("x")).first().x

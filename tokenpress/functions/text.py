@@ -77,11 +77,8 @@ def shingles(words: Column, n: int) -> Column:
 
 def token_count(c: Column | str, model: str = "gpt4") -> Column:
     """Estimated tokens of a model: by length of words, one for each sign, a quarter of long blank runs. Blank text has none."""
-    n = lambda x: F.length(x)
-    cost = lambda x: F.when(n(x) <= 4, 1).when(n(x) <= 8, 2).otherwise(2 + ((n(x) - 5) / 4).cast("int"))
-    words = F.aggregate(F.regexp_extract_all(text_or_empty(c), F.lit(COUNTED), 0), F.lit(0), lambda a, x: a + cost(x))
-    gaps = F.aggregate(F.regexp_extract_all(text_or_empty(c), F.lit(r"\s{4,}"), 0), F.lit(0), lambda a, x: a + (n(x) / 4).cast("int"))
-    total = F.greatest(words + gaps, F.lit(1))
+    # A run of letters costs one for each four of them, begun or whole; a run of blanks one for each whole four.
+    total = F.greatest(F.regexp_count(text_or_empty(c), F.lit(r"[a-zA-Z0-9_]{1,4}|[^\s]|\s{4}")), F.lit(1))
     if FACTORS[model]:
         total = (total * F.lit(FACTORS[model])).cast("int")
     return F.when(blank(c), 0).otherwise(total).cast("bigint")

@@ -1,23 +1,23 @@
-"""Levels of word pruning, each one projection per document: nothing is shuffled. Light, semantic and aggressive are expressions over
-the array of tokens; statistical and syntactic look at whole sentences, in Arrow batches. A level that drops every word of a text
-leaves it empty, but never fails."""
+"""Levels of word pruning, each one projection per document: nothing is shuffled. A text's language is told and its tokens are pruned in
+one function, in Arrow batches: what a level makes of a token is kept by the worker, where expressions over the array of tokens asked
+it of each of them anew. Filters of one's own are expressions. A level that drops every word of a text leaves it empty, but never fails."""
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NUMBER, PUNCT, TOKEN, blank, is_number, is_punct, let, text_or_empty, token_count, word_tokens
+from ..functions.batches import rowwise
+from ..functions.text import is_number, is_punct, let, text_or_empty, token_count, word_tokens
+from ..functions.words import ENDERS, Word, detected, tokens, words
 from ..lexicon import Lexicon, catalogue, descriptive_pattern
 from .language import detect
 
 LEVELS = ("none", "light", "semantic", "aggressive", "statistical", "syntactic")
-ENDERS = (".", "!", "?", "…")
 
 
 def per_language(iso3: Column, make: Callable[[Lexicon], Column]) -> Column:
@@ -95,133 +95,104 @@ def _kept(tokens: Column, keep, emit) -> Column:
     return F.array_join(F.transform(F.filter(tokens, keep), emit), " ")
 
 
-def _content(t: Column) -> Column:
-    return ~t["punct"] & (t["protected"] | (~t["number"] & ~t["stop_lemma"]))
+def _guards(ws: list[Word]) -> list[bool]:
+    """Of each word, whether it is a negation or a name, which depends on whether it starts a sentence."""
+    start = [1, *(w.ender for w in ws)]
+    return [w.guard[s] for w, s in zip(ws, start)]
 
 
-def _reduced(t: Column) -> Column:
-    return F.when(t["protected"] | (t["lemma"] == t["low"]), t["text"]).otherwise(t["lemma"])
+def light(ws: list[Word]) -> str:
+    """Without signs and function words; case and numbers stay, so do negations."""
+    return " ".join([w.text for w in ws if w.light])
 
 
-def light(text: Column | str, iso3: Column) -> Column:
-    """Without signs and function words; case and numbers stay, so do negations. Works on the text: it asks little of a token."""
-    low = F.transform(word_tokens(text), lambda x: F.struct(x.alias("text"), F.lower(x).alias("low")))
-    return per_language(iso3, lambda lex: _kept(low, lambda t: (~_in(t["low"], lex.function_words - lex.negations) if lex.iso3 != "zho" else ~_in(t["low"], lex.function_words) | is_negation(t["low"], lex)) & ~is_punct(t["text"]), lambda t: t["text"]))
-
-
-def semantic(tokens: Column) -> Column:
+def semantic(ws: list[Word]) -> str:
     """Also without numbers, and lemmas for inflected words."""
-    return _kept(tokens, _content, _reduced)
+    start = [1, *(w.ender for w in ws)]
+    return " ".join([x for w, s in zip(ws, start) if (x := w.semantic[s]) is not None])
 
 
-def aggressive(tokens: Column) -> Column:
+def aggressive(ws: list[Word]) -> str:
     """Also without generic and descriptive words; a text of which nothing would stay is left at the semantic level."""
-    hard = _kept(tokens, lambda t: _content(t) & (t["protected"] | (~t["generic"] & ~t["describes"] & (F.length(t["lemma"]) > 1))), _reduced)
-    return let(hard, lambda h: F.when((h == "") & F.exists(tokens, lambda t: ~t["punct"]), semantic(tokens)).otherwise(h))
-
-
-class _Text:
-    """A text's tokens with what the levels ask of them, for those that look at whole sentences."""
-
-    def __init__(self, text: str, iso3: str):
-        import regex
-
-        self.lex = lex = catalogue().get(iso3) or catalogue()["eng"]
-        forms = {f: v for f, v in lex.forms.items() if f not in lex.adverbs}
-        self.stop, self.generic = lex.function_words, lex.generic_words()
-        self.tokens = tokens = regex.findall(TOKEN, text)
-        self.low = [t.lower() for t in tokens]
-        self.lemma = [forms.get(x, x) for x in self.low]
-        word, number = regex.compile(r"[\p{L}\p{N}\p{M}]").match, regex.compile(NUMBER).match
-        self.punct = [len(t) == 1 and not word(t) for t in tokens]
-        self.number = [bool(number(t)) for t in tokens]
-        self.sent, start, n = [], [], 0
-        for i, t in enumerate(tokens):
-            self.sent.append(n)
-            start.append(i == 0 or tokens[i - 1] in ENDERS)
-            n += t in ENDERS
-        self.sents = n + 1
-        negation = [x.startswith(tuple(lex.negations)) if lex.iso3 == "zho" else x in lex.negations for x in self.low]
-        upper = regex.compile(r"\p{Lu}").match
-        self.guard = [neg or (x in lex.names if lex.iso3 == "deu" else bool(upper(t)) and (not st or x in lex.names)) for t, x, st, neg in zip(tokens, self.low, start, negation)]
-
-
-def _statistical_one(text: str, iso3: str) -> str:
-    """One text at the statistical level."""
-    t = _Text(text, iso3)
-    words = [m if not (p or g or d) else None for m, p, g, d in zip(t.lemma, t.punct, t.guard, t.number)]
-    tf = Counter(w for w in words if w is not None)
-    df = Counter(w for w, _ in {(w, s) for w, s in zip(words, t.sent) if w is not None})
-    dull = {m for m, x in zip(t.lemma, t.low) if x in t.stop or m in t.stop or m in t.generic}
-    score = {w: 0.0 if w in dull else round(n * (1.0 if t.sents == 1 else log(t.sents / (1 + df[w])) + 1), 9) for w, n in tf.items()}
+    start = [1, *(w.ender for w in ws)]
+    return " ".join([x for w, s in zip(ws, start) if (x := w.hard[s]) is not None]) or semantic(ws)
+
+
+def statistical(ws: list[Word]) -> str:
+    """Words of a TF-IDF score, over the sentences of the text, at or above the upper median of the positive scores of its distinct words;
+    each sentence keeps its best word. All of it is within a text: nothing is shuffled, where rows of tokens would be, with a dozen
+    window passes."""
+    guard = _guards(ws)
+    sent, n = [], 0
+    for w in ws:
+        sent.append(n)
+        n += w.ender
+    sents = n + 1
+    named = [w.lemma if not (w.punct or g or w.number) else None for w, g in zip(ws, guard)]
+    tf = Counter(w for w in named if w is not None)
+    df = Counter(w for w, _ in {(w, s) for w, s in zip(named, sent) if w is not None})
+    dull = {w.lemma for w in ws if w.dull}
+    score = {w: 0.0 if w in dull else round(n * (1.0 if sents == 1 else log(sents / (1 + df[w])) + 1), 9) for w, n in tf.items()}
     some = sorted(v for v in score.values() if v > 0)
     if not some:
-        return " ".join(x for x, p, d in zip(t.tokens, t.punct, t.number) if not p and not d)
+        return " ".join(w.text for w in ws if not w.punct and not w.number)
     cut = some[len(some) // 2]
-    shown = [(g and not p) or (w is not None and score[w] > 0 and score[w] >= cut) for w, g, p in zip(words, t.guard, t.punct)]
-    full = {s for s, x in zip(t.sent, shown) if x}
+    shown = [(g and not w.punct) or (x is not None and score[x] > 0 and score[x] >= cut) for x, g, w in zip(named, guard, ws)]
+    full = {s for s, x in zip(sent, shown) if x}
     best: dict[int, int] = {}
-    for i, w in enumerate(words):
-        if w is not None and t.sent[i] not in full and (t.sent[i] not in best or score[w] > score[words[best[t.sent[i]]]]):
-            best[t.sent[i]] = i
+    for i, x in enumerate(named):
+        if x is not None and sent[i] not in full and (sent[i] not in best or score[x] > score[named[best[sent[i]]]]):
+            best[sent[i]] = i
     for i in best.values():
         shown[i] = True
-    return " ".join(x if g else w for x, w, g, k in zip(t.tokens, words, t.guard, shown) if k)
+    return " ".join(w.text if g else x for w, x, g, k in zip(ws, named, guard, shown) if k)
 
 
-def _syntactic_one(text: str, iso3: str) -> str:
-    """One text at the syntactic level."""
-    t = _Text(text, iso3)
-    lex, tokens, low, lemma, punct, sent, guard, stop = t.lex, t.tokens, t.low, t.lemma, t.punct, t.sent, t.guard, t.stop
-    pattern = descriptive_pattern(lex.iso3)
-    describes = re.compile(pattern) if pattern else None
-    stays = [not p and (g or not (d or x in stop or m in stop or m in t.generic or (describes and len(x) >= 4 and describes.match(x)) or len(m) <= 1))
-             for x, m, p, g, d in zip(low, lemma, punct, guard, t.number)]
-    cut = [False] * len(tokens)
+def _sentences(ws: list[Word]) -> Iterator[list[Word]]:
     begin = 0
-    for i in range(len(tokens) + 1):
-        if i == len(tokens) or sent[i] != sent[begin]:
-            verbs = [k for k in range(begin, i) if low[k] in lex.verb_forms]
-            if len(verbs) > 1 and all(punct[k] or k in verbs or low[k] in stop or low[k] in lex.modifiers for k in range(verbs[0], verbs[-1])):
-                for k in range(begin, verbs[-1]):
-                    cut[k] = not guard[k]
-            begin = i
-    out: list[str] = []
-    shown = [False] * len(tokens)
-    for i in reversed(range(len(tokens))):
-        after = i + 1 < len(tokens) and stays[i + 1] and not cut[i + 1]
-        shown[i] = not punct[i] and not cut[i] and (stays[i] or (low[i] in stop and after))
-    full = {sent[i] for i in range(len(tokens)) if shown[i]}
-    for i, x in enumerate(tokens):
-        if not shown[i] and sent[i] not in full and not punct[i]:
-            shown[i] = True
-            full.add(sent[i])
-        if shown[i]:
-            out.append(x if low[i] in stop or guard[i] or lemma[i] == low[i] else lemma[i])
-    return " ".join(out)
+    for i in [i for i, w in enumerate(ws, 1) if w.ender]:
+        yield ws[begin:i]
+        begin = i
+    if begin < len(ws):
+        yield ws[begin:]
 
 
-def _by_text(one) -> Callable[[Column, Column], Column]:
-    @F.pandas_udf("string")
-    def run(texts, languages):
-        import pandas as pd
+def syntactic(ws: list[Word]) -> str:
+    """The aggressive rules, but a function word stays before a word that stays; of verbs that only glue joins, the last one and what
+    follows; a sentence of which nothing would stay keeps its first word. Sequential within a text."""
+    out: list[str] = []
+    for s in _sentences(ws):
+        stays = [s[0].stays[1], *(w.stays[0] for w in s[1:]), False]
+        verbs = [k for k, w in enumerate(s) if w.verb]
+        if len(verbs) > 1 and all(w.glue for w in s[verbs[0] : verbs[-1]]):
+            # Before the last verb, only what is guarded isn't cut.
+            cut = [not w.guard[k == 0] for k, w in enumerate(s[: verbs[-1]])] + [False] * (len(s) - verbs[-1] + 1)
+            stays = [a and not c for a, c in zip(stays, cut)]
+            shown = [not w.punct and not c and (a or (w.stop and b)) for w, a, b, c in zip(s, stays, stays[1:], cut)]
+        else:
+            shown = [a or (w.stop and b and not w.punct) for w, a, b in zip(s, stays, stays[1:])]
+        if not any(shown):
+            first = next((k for k, w in enumerate(s) if not w.punct), None)
+            if first is None:
+                continue
+            shown[first] = True
+        out += [w.text if w.stop or w.guard[k == 0] or w.lemma == w.low else w.lemma for k, (w, x) in enumerate(zip(s, shown)) if x]
+    return " ".join(out)
 
-        return pd.Series([one(t, k) if t and t.strip() else "" for t, k in zip(texts, languages)], dtype=object)
 
-    return lambda text, iso3: run(text_or_empty(text), iso3)
+MAKE: dict[str, Callable[[list[Word]], str]] = {"light": light, "semantic": semantic, "aggressive": aggressive, "statistical": statistical, "syntactic": syntactic}
 
 
-def syntactic(text: Column, iso3: Column) -> Column:
-    """The aggressive rules, but a function word stays before a word that stays; of verbs that only glue joins, the last one and what
-    follows; a sentence of which nothing would stay keeps its first word. Sequential within a text, so in Arrow batches."""
-    return _by_text(_syntactic_one)(text, iso3)
+def _syntactic_one(text: str, iso3: str) -> str:
+    """One text at the syntactic level."""
+    return syntactic(words(tokens(text), iso3))
 
 
-def statistical(text: Column, iso3: Column) -> Column:
-    """Words of a TF-IDF score, over the sentences of the text, at or above the upper median of the positive scores of its distinct words;
-    each sentence keeps its best word. All of it is within a text: in Arrow batches nothing is shuffled, where rows of tokens
-    would be, with a dozen window passes."""
-    return _by_text(_statistical_one)(text, iso3)
+def pruned(text: str | None, level: str, iso3: str | None = None) -> tuple[str, str]:
+    """The language of a text, told if none is given, and the text at a level."""
+    found = tokens(text or "")
+    lang = iso3 or detected(found)
+    return lang, MAKE[level](words(found, lang))
 
 
 def custom(tokens: Column, keep_only: tuple[str, ...] = (), remove: tuple[str, ...] = (), predicate: Callable[[Column], Column] | None = None) -> Column:
@@ -246,19 +217,27 @@ def category(t: Column) -> Column:
     return F.when(t["punct"], "PUNCT").when(t["stop"], "FUNC").when(t["number"], "NUM").when(t["text"].rlike(r"^\p{Lu}.") , "PROPN").otherwise("CONTENT")
 
 
-_PER_ROW = {"semantic": semantic, "aggressive": aggressive}
+def with_compressed(docs: DataFrame, level: str, text: str = "text", iso3: str | None = None) -> DataFrame:
+    """Adds iso3 (told from the text if no column is named) and compressed."""
+    if iso3:
+        return docs.withColumn("iso3", F.col(iso3)).withColumn("compressed", rowwise(lambda t, k: pruned(t, level, k or "eng")[1], "string", text, "iso3"))
+    made = docs.withColumn("_pruned", rowwise(lambda t: pruned(t, level), "struct<iso3:string,compressed:string>", text))
+    return made.withColumns({"iso3": F.col("_pruned.iso3"), "compressed": F.col("_pruned.compressed")}).drop("_pruned")
 
 
-def with_compressed(docs: DataFrame, level: str, text: str = "text", iso3: str | None = None) -> DataFrame:
-    """Adds iso3 and compressed, for the levels of one projection."""
-    d = detect(docs, text) if not iso3 else docs.withColumn("iso3", F.col(iso3))
-    return d.withColumn("compressed", level_of(level, text, F.col("iso3")))
+def filtered(text: str | None, filters: dict[str, dict], counted: tuple[str, ...] = ()) -> tuple:
+    """The text by filters of categories, each with keep_only and remove as in custom, and the numbers of tokens of other categories."""
+    found = tokens(text or "")
+    ws = words(found, detected(found))
+    kept = lambda w, keep_only=(), remove=(): (w.category in keep_only if keep_only else "FUNC" not in remove or not w.stop) and not ("PUNCT" in remove and w.punct)
+    return (*(" ".join([w.text for w in ws if kept(w, **f)]) for f in filters.values()), *(sum(w.category == c for w in ws) for c in counted))
 
 
-def level_of(level: str, text: str, iso3: Column) -> Column:
-    """The text at one of the levels light, semantic and aggressive."""
-    made = light(text, iso3) if level == "light" else let(_annotated(word_tokens(text), iso3), _PER_ROW[level])
-    return F.when(blank(text), "").otherwise(made)
+def with_filtered(docs: DataFrame, filters: dict[str, dict], counts: dict[str, str], text: str = "text") -> DataFrame:
+    """Adds a column for each filter by category, and counts of categories by name."""
+    kinds = ",".join([*(f"{k}:string" for k in filters), *(f"{k}:bigint" for k in counts)])
+    made = docs.withColumn("_filtered", rowwise(lambda t: filtered(t, filters, tuple(counts.values())), f"struct<{kinds}>", text))
+    return made.withColumns({k: F.col(f"_filtered.{k}") for k in (*filters, *counts)}).drop("_filtered")
 
 
 def compress(docs: DataFrame, level: str = "semantic", key: str = "doc_id", text: str = "text", iso3: str | None = None, counter: Callable[[Column], Column] = token_count) -> DataFrame:
@@ -268,10 +247,7 @@ def compress(docs: DataFrame, level: str = "semantic", key: str = "doc_id", text
     from a column to its number of tokens."""
     if level not in LEVELS:
         raise ValueError(f"no level {level}")
-    if level in ("statistical", "syntactic"):
-        d = detect(docs, text) if not iso3 else docs.withColumn("iso3", F.col(iso3))
-        d = d.withColumn("compressed", (statistical if level == "statistical" else syntactic)(F.col(text), F.col("iso3")))
-    elif level == "none":
+    if level == "none":
         d = (detect(docs, text) if not iso3 else docs.withColumn("iso3", F.col(iso3))).withColumn("compressed", text_or_empty(text))
     else:
         d = with_compressed(docs, level, text, iso3)

@@ -125,12 +125,9 @@ def statistical_filter(spark, sf_dir):
     c AS (SELECT *, CASE WHEN punct THEN 'PUNCT' WHEN stop THEN 'FUNC' WHEN num THEN 'NUM' WHEN regexp_matches(x, '^\\p{{Lu}}.') THEN 'PROPN' ELSE 'CONTENT' END AS cat FROM t)
     SELECT doc_id, {q.joined('x', "cat = 'PROPN'")} AS names, {q.joined('x', "NOT punct AND NOT stop")} AS no_func, count(*) FILTER (WHERE cat = 'NUM')::BIGINT AS numbers FROM c GROUP BY doc_id""")
 def custom_filter_categories(spark, sf_dir):
-    d = language.detect(docs(spark, sf_dir).select("doc_id", "text")).filter(F.col("text").rlike(r"[^\s]"))
-
-    def made(t):
-        return F.struct(compress.custom(t, keep_only=("PROPN",)).alias("names"), compress.custom(t, remove=("PUNCT", "FUNC")).alias("no_func"), F.size(F.filter(t, lambda x: compress.category(x) == "NUM")).cast("bigint").alias("numbers"))
-
-    return d.select("doc_id", text.let(compress.annotated("text", F.col("iso3")), made).alias("c")).select("doc_id", "c.*")
+    d = docs(spark, sf_dir).select("doc_id", "text").filter(F.col("text").rlike(r"[^\s]"))
+    made = compress.with_filtered(d, {"names": {"keep_only": ("PROPN",)}, "no_func": {"remove": ("PUNCT", "FUNC")}}, {"numbers": "NUM"})
+    return made.select("doc_id", "names", "no_func", "numbers")
 
 
 @query(f"""WITH {q.tokens()},

@@ -214,6 +214,30 @@ def test_summaries():
     assert rank.tfidf_summary(both, ratio=1.0) == both
 
 
+def test_summaries_of_long_texts_are_small():
+    """Choosing a few of many sentences makes no square of them; TextRank makes one, and no copies."""
+    import tracemalloc
+
+    n = 3000
+    text = " ".join(f"Word{i % 97} follows word{i % 89} and word{i}." for i in range(n))
+    for make, most in ((rank.tfidf_summary, 20e6), (rank.topic_summary, 20e6), (rank.textrank, n * n * 8 + n * (n + 300) * 4 + 30e6)):
+        tracemalloc.start()
+        assert len(rank.split_sentences(make(text, 3))) == 3
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most, make.__name__
+
+
+def test_summaries_tell_the_language(spark):
+    from tokenpress.operators import language
+
+    rows = [(1, FINANCE + " " + WEATHER), (2, "Der Hund ist nicht hier. Die Katze ist auch nicht da. Das Haus und der Garten sind leer. Wir sind alle fort."), (3, None), (4, "One.")]
+    d = language.detect(spark.createDataFrame(rows, "doc_id long, text string"))
+    for how in rank.SUMMARIES:
+        got = d.select(rank.summary("text", 2, how, F.col("iso3")).alias("a"), rank.summary("text", 2, how, None).alias("b")).collect()
+        assert all(r.a == r.b for r in got) and "hits_eng" not in d.select(rank.summary("text", 2, how, None))._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("raw, name, roles", [
     ('[{"role":"system","content":"a"},{"role":"user","content":[{"type":"text","text":"b"},{"type":"image"}]}]', "openai-json", ["System", "User"]),
     ('{"messages":[{"role":"assistant","content":null,"tool_calls":[{"function":{"name":"f","arguments":"{}"}}]}]}', "openai-json", ["Assistant"]),

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from math import log, sqrt
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import rowwise
 from ..functions.sentences import split_sentences
 from ..functions.text import let, terms
+from ..functions.words import detected, letter_runs, tokens
 from ..lexicon import catalogue
 
 K1, B, DELTA = 1.5, 0.75, 1.0
@@ -110,30 +113,52 @@ def relevance(text: Column | str, query: str, iso3: str = "eng") -> Column:
 # Summaries, of one text each
 
 
-def _content(sentence: str, stop: frozenset[str]) -> list[str]:
-    import regex
-
-    return [w for w in regex.findall(r"[\p{L}\p{M}]+", sentence.lower()) if w not in stop]
+def _bags(sentences: list[str], stop: frozenset[str]) -> list[list[str]]:
+    """Of each sentence, its words that are no function words."""
+    low = [x.lower() for x in sentences]
+    find = letter_runs("\n".join(low))
+    return [[w for w in find(x) if w not in stop] for x in low]
 
 
-def jaccard_matrix(bags: list[list[str]]) -> np.ndarray:
-    """Of sets of words, by their incidence."""
+def transitions(bags: list[list[str]], block: int = 256) -> np.ndarray:
+    """From each set of words to the others, shares by Jaccard similarity; rows without any pass nothing on. Made a few rows at a time: of
+    a text's square of sentences there is this one alone."""
     index: dict[str, int] = {}
     rows = [sorted({index.setdefault(w, len(index)) for w in b}) for b in bags]
-    a = np.zeros((len(bags), max(len(index), 1)), np.float32)
+    n = len(bags)
+    a = np.zeros((n, max(len(index), 1)), np.float32)
     for i, r in enumerate(rows):
         a[i, r] = 1
-    both = a @ a.T
     size = a.sum(1)
-    union = size[:, None] + size[None, :] - both
-    return np.divide(both, union, out=np.zeros_like(both), where=union > 0).astype(float)
+    out = np.empty((n, n))
+    for i in range(0, n, block):
+        p = out[i : i + block]
+        both = a[i : i + block] @ a.T
+        union = size[i : i + block, None] + size[None, :] - both
+        p[:] = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+        p[np.arange(len(p)), np.arange(i, i + len(p))] = 0
+        total = p.sum(1)[:, None]
+        np.divide(p, total, out=p, where=total > 0)
+    return out
+
+
+def likeness(bags: list[list[str]]) -> Callable[[int], np.ndarray]:
+    """Jaccard similarities of a set of words to all, made when they are asked for: a choice of a few sentences needs no others."""
+    sets = [frozenset(b) for b in bags]
+    size = np.array([len(x) for x in sets], np.float32)
 
+    def row(i: int) -> np.ndarray:
+        mine = sets[i]
+        both = np.array([len(mine & x) for x in sets], np.float32)
+        union = size[i] + size - both
+        return np.divide(both, union, out=np.zeros_like(both), where=union > 0).astype(float)
 
-def page_rank(w: np.ndarray, damping: float = 0.85, steps: int = 100, tol: float = 1e-4) -> np.ndarray:
-    """Scores on a weighted graph; rows without weight pass nothing on."""
-    n = len(w)
-    out = w.sum(1)
-    p = np.divide(w, out[:, None], out=np.zeros_like(w), where=out[:, None] > 0)
+    return row
+
+
+def page_rank(p: np.ndarray, damping: float = 0.85, steps: int = 100, tol: float = 1e-4) -> np.ndarray:
+    """Scores on a graph given by the shares that go from each row to the others."""
+    n = len(p)
     r = np.full(n, 1 / n)
     for _ in range(steps):
         new = (1 - damping) / n + damping * (r @ p)
@@ -143,8 +168,9 @@ def page_rank(w: np.ndarray, damping: float = 0.85, steps: int = 100, tol: float
     return r
 
 
-def diverse(score: np.ndarray, like: np.ndarray, k: int, weight: float) -> list[int]:
-    """Greedy choice of k by weight * score less the rest of the weight times the nearest choice; the first of equals. In order of place."""
+def diverse(score: np.ndarray, like: Callable[[int], np.ndarray], k: int, weight: float) -> list[int]:
+    """Greedy choice of k by weight * score less the rest of the weight times the nearest choice; the first of equals. In order of place.
+    like(i): how like i each is."""
     near = np.zeros(len(score))
     left = np.ones(len(score), bool)
     chosen = []
@@ -153,7 +179,7 @@ def diverse(score: np.ndarray, like: np.ndarray, k: int, weight: float) -> list[
         i = int(value.argmax())
         chosen.append(i)
         left[i] = False
-        near = np.maximum(near, like[i])
+        near = np.maximum(near, like(i))
     return sorted(chosen)
 
 
@@ -162,28 +188,30 @@ def textrank(text: str, k: int, iso3: str = "eng") -> str:
     if len(s) <= k:
         return text
     lex = catalogue().get(iso3) or catalogue()["eng"]
-    w = jaccard_matrix([_content(x, lex.function_words) for x in s])
-    np.fill_diagonal(w, 0)
-    return " ".join(s[i] for i in diverse(page_rank(w), w, k, MMR_TEXTRANK))
+    bags = _bags(s, lex.function_words)
+    return " ".join(s[i] for i in diverse(page_rank(transitions(bags)), likeness(bags), k, MMR_TEXTRANK))
 
 
 def sentence_scores(bags: list[list[str]], names: frozenset[str] = frozenset()) -> np.ndarray:
     """TF-IDF of sentences within their text, with a bonus for first, early and late places and for names."""
     n = len(bags)
     df = Counter(w for b in bags for w in set(b))
+    idf = {d: log(n / (1 + d)) for d in set(df.values())}
     out = np.zeros(n)
     for i, b in enumerate(bags):
         if b:
-            out[i] = sum(c / len(b) * log(n / (1 + df[w])) for w, c in Counter(b).items())
+            size = len(b)
+            # In the order of first places; most sentences have each word once.
+            out[i] = sum([c / size * idf[df[w]] for w, c in Counter(b).items()] if len(set(b)) < size else [1 / size * idf[df[w]] for w in b])
         out[i] += 0.30 if i == 0 else 0.15 if i / n < 0.15 else 0.10 if i / n > 0.85 else 0.0
-        out[i] += 0.08 if any(w in names for w in b) else 0.0
+        out[i] += 0.0 if names.isdisjoint(b) else 0.08
     return out
 
 
 def _condensed(s: list[str], k: int, iso3: str) -> list[str]:
     lex = catalogue().get(iso3) or catalogue()["eng"]
-    bags = [_content(x, lex.function_words) for x in s]
-    return [s[i] for i in diverse(sentence_scores(bags, lex.names), jaccard_matrix(bags), k, MMR_TFIDF)]
+    bags = _bags(s, lex.function_words)
+    return [s[i] for i in diverse(sentence_scores(bags, lex.names), likeness(bags), k, MMR_TFIDF)]
 
 
 def tfidf_summary(text: str, k: int | None = None, iso3: str = "eng", ratio: float | None = None) -> str:
@@ -196,7 +224,8 @@ def segments(sents: list[str], iso3: str = "eng", block: int = 3) -> list[tuple[
     """TextTiling: half-open ranges of sentences, cut where the likeness of neighbouring blocks of three has a valley deeper than the
     mean less half a standard deviation."""
     lex = catalogue().get(iso3) or catalogue()["eng"]
-    blocks = [Counter(w for x in sents[i : i + block] for w in _content(x, lex.function_words)) for i in range(0, len(sents), block)]
+    bags = _bags(sents, lex.function_words)
+    blocks = [Counter(w for b in bags[i : i + block] for w in b) for i in range(0, len(sents), block)]
     if len(blocks) < 3:
         return [(0, len(sents))] if sents else []
     norm = [sqrt(sum(v * v for v in b.values())) for b in blocks]
@@ -230,39 +259,34 @@ def apportion(sizes: list[int], total: int) -> list[int]:
 
 def topic_summary(text: str, k: int, iso3: str = "eng") -> str:
     s = split_sentences(text, iso3)
+    if len(s) <= k:
+        return text
     parts = segments(s, iso3)
-    if len(s) <= k or len(parts) <= 1:
-        return tfidf_summary(text, k, iso3)
+    if len(parts) <= 1:
+        return " ".join(_condensed(s, k, iso3))
     return " ".join(x for (a, b), n in zip(parts, apportion([b - a for a, b in parts], k)) if n for x in _condensed(s[a:b], n, iso3))
 
 
-def summary(text: Column | str, k: int = 3, how: str = "textrank", iso3: Column | str = "eng") -> Column:
-    """A summary of k sentences in each row, by textrank, tfidf or topic; a shorter text stays as it is."""
-    make = {"textrank": textrank, "tfidf": tfidf_summary, "topic": topic_summary}[how]
-
-    @F.pandas_udf("string")
-    def run(s, lang):
-        import pandas as pd
+SUMMARIES = {"textrank": textrank, "tfidf": tfidf_summary, "topic": topic_summary}
 
-        return pd.Series([make(x or "", k, y or "eng") for x, y in zip(s, lang)])
 
-    return run(text if isinstance(text, Column) else F.col(text), iso3 if isinstance(iso3, Column) else F.lit(iso3))
+def summary(text: Column | str, k: int = 3, how: str = "textrank", iso3: Column | str | None = "eng") -> Column:
+    """A summary of k sentences in each row, by textrank, tfidf or topic; a shorter text stays as it is. Without iso3 the language is told
+    from the text, in the same function."""
+    make = SUMMARIES[how]
+    if iso3 is None:
+        return rowwise(lambda x: make(x or "", k, detected(tokens(x or ""))), "string", text)
+    return rowwise(lambda x, y: make(x or "", k, y or "eng"), "string", text, iso3 if isinstance(iso3, Column) else F.lit(iso3))
 
 
 def topic_segments(text: Column | str, iso3: Column | str = "eng") -> Column:
     """Array of begin, end (sentences, half open) and text."""
 
-    @F.pandas_udf("array<struct<begin:int,end:int,text:string>>")
-    def run(s, lang):
-        import pandas as pd
-
-        out = []
-        for x, y in zip(s, lang):
-            sents = split_sentences(x or "", y or "eng")
-            out.append([{"begin": a, "end": b, "text": " ".join(sents[a:b])} for a, b in segments(sents, y or "eng")])
-        return pd.Series(out)
+    def one(x: str | None, y: str | None) -> list[dict]:
+        sents = split_sentences(x or "", y or "eng")
+        return [{"begin": a, "end": b, "text": " ".join(sents[a:b])} for a, b in segments(sents, y or "eng")]
 
-    return run(text if isinstance(text, Column) else F.col(text), iso3 if isinstance(iso3, Column) else F.lit(iso3))
+    return rowwise(one, "array<struct<begin:int,end:int,text:string>>", text, iso3 if isinstance(iso3, Column) else F.lit(iso3))
 
 
 def keywords(docs: DataFrame, key: str, text: str = "text", k: int = 10, iso3: str = "eng") -> DataFrame:

@@ -1,5 +1,7 @@
 """Tokenizers, counters, languages and levels."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,15 @@ def test_levels_look_tokens_up(spark, sf_dir, name):
     assert "lambdafunction" not in plan and "hits_eng" not in plan
 
 
+def test_sentence_scores_stay_in_their_rows(spark, sf_dir):
+    from tokenpress.operators import rank
+    from tokenpress.plans import catalogue as plans
+
+    out = plans.QUERIES["sentence_tfidf_scores"](spark, sf_dir)
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rank._tfidf_sums([]) == [] and rank._tfidf_sums([["a", "b", "a"], [], ["b"]]) == [2 / 3 * math.log(3 / 2), None, 0.0]
+
+
 def test_custom(spark):
     d = compress.with_tokens(spark.createDataFrame([(1, "the Cat saw 12 birds!")], "doc_id long, text string"))
     show = lambda **k: d.select(compress.custom(F.col("tokens"), **k).alias("x")).first().x

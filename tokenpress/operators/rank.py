@@ -208,6 +208,20 @@ def sentence_scores(bags: list[list[str]], names: frozenset[str] = frozenset())
     return out
 
 
+def _tfidf_sums(sentences: list[list[str]]) -> list[float | None]:
+    counts = [Counter(b) for b in sentences]
+    n = len(counts)
+    df = Counter(w for c in counts for w in c)
+    idf = {d: log(n / (1 + d)) for d in set(df.values())}
+    return [sum([c / size * idf[df[w]] for w, c in b.items()]) if (size := b.total()) else None for b in counts]
+
+
+def tfidf_sums(sentences: Column) -> Column:
+    """Of each sentence of a text, given as its words, the sum of TF-IDF over the text's sentences; null where it has no words. A text stays
+    in its row: as rows of words, with a window for each count, its words were shuffled three times."""
+    return rowwise(lambda x: _tfidf_sums(x or []), "array<double>", sentences)
+
+
 def _condensed(s: list[str], k: int, iso3: str) -> list[str]:
     lex = catalogue().get(iso3) or catalogue()["eng"]
     bags = _bags(s, lex.function_words)

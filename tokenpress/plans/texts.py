@@ -289,15 +289,11 @@ def summarize_and_compress(spark, sf_dir):
     SELECT doc_id, i::INT AS idx, round(sum(c::DOUBLE / l * ln(n::DOUBLE / (1 + df))) + CASE WHEN i = 0 THEN 0.3::DOUBLE WHEN i::DOUBLE / n < 0.15::DOUBLE THEN 0.15::DOUBLE WHEN i::DOUBLE / n > 0.85::DOUBLE THEN 0.1::DOUBLE ELSE 0 END, 6) AS score
     FROM tf JOIN df USING (doc_id, w) JOIN len USING (doc_id, i) GROUP BY doc_id, i, n""")
 def sentence_tfidf_scores(spark, sf_dir):
-    from pyspark.sql import Window
-
-    s = docs(spark, sf_dir).select("doc_id", F.filter(F.split(text.text_or_empty("text"), r"[.!?]\s+"), lambda x: x.rlike(r"\p{L}")).alias("l"))
-    s = s.select("doc_id", F.size("l").alias("n"), F.posexplode("l").alias("idx", "s"))
-    w = s.select("doc_id", "idx", "n", F.explode(F.regexp_extract_all(F.lower("s"), F.lit(r"[\p{L}\p{M}]+"), 0)).alias("w"))
-    tf = w.groupBy("doc_id", "idx", "n", "w").agg(F.count(F.lit(1)).alias("c"))
-    tf = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "w"))).withColumn("len", F.sum("c").over(Window.partitionBy("doc_id", "idx")))
+    l = F.filter(F.split(text.text_or_empty("text"), r"[.!?]\s+"), lambda x: x.rlike(r"\p{L}"))
+    words = F.transform(l, lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{M}]+"), 0))
+    d = docs(spark, sf_dir).select("doc_id", rank.tfidf_sums(words).alias("sums")).select("doc_id", F.size("sums").alias("n"), F.posexplode_outer("sums").alias("idx", "s")).filter("s IS NOT NULL")
     place = F.when(F.col("idx") == 0, 0.3).when(F.col("idx") / F.col("n") < 0.15, 0.15).when(F.col("idx") / F.col("n") > 0.85, 0.1).otherwise(0.0)
-    return tf.groupBy("doc_id", "idx", "n").agg(F.sum(F.col("c") / F.col("len") * F.log(F.col("n") / (1 + F.col("df")))).alias("s")).select("doc_id", "idx", F.round(F.col("s") + place, 6).alias("score"))
+    return d.select("doc_id", "idx", rounded(F.col("s") + place).alias("score"))
 
 
 @query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}]+')) AS w FROM benchmark),

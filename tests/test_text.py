@@ -1,11 +1,12 @@
 """Tokenizers, counters, languages and levels."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tokenpress.functions import sentences, sketch, text
+from tokenpress.functions import sentences, sketch, text, words
 from tokenpress.lexicon import catalogue, iso3
 from tokenpress.operators import chat, compress, language
 
@@ -82,8 +83,6 @@ ODD = ["Ⅷ x² 3.5 ½ a\u00a0b. \u00a0Next İstanbul ΑΣ.Β ΟΔΟΣ", "l'ét
 
 def test_words_are_as_expressions_tell_them(spark):
     """What the worker keeps of tokens, against the column functions."""
-    from tokenpress.functions import words
-
     every = [(i * 10 + j, k, t) for i, t in enumerate(TEXTS + ODD) for j, k in enumerate(catalogue())]
     d = compress.with_tokens(spark.createDataFrame(every, "i int, iso3 string, text string"), iso3="iso3")
     for r in d.collect():
@@ -161,7 +160,7 @@ def test_results_are_made_by_slices(spark):
 
     from tokenpress.functions import batches
 
-    run = batches.sliced(sentences.split_han, ArrayType(StringType()))
+    run = batches.sliced(lambda rows: [sentences.split_han(x) for (x,) in rows], ArrayType(StringType()))
     long = "我们学习自然语言处理x" * 5000
     got = list(run(iter([pa.array([long] * 20 + ["a 龘", ""]), pa.array([], pa.string())])))
     assert sum(map(len, got)) == 22 and max(map(len, got)) <= 3 and got[-2].to_pylist()[-2:] == [["a", "龘"], []]
@@ -184,6 +183,30 @@ def test_similar_pairs(spark):
     assert got == {(1, 2, 1), (1, 3, 3), (2, 3, 2), (5, 6, 1)}
 
 
+def test_fingerprints_meet_by_two_blocks(spark):
+    """All pairs are found, and a block that many share makes no square of them."""
+    rng = random.Random(2)
+    some = [rng.getrandbits(63) for _ in range(150)]
+    near = some + [x ^ sum(1 << b for b in rng.sample(range(63), rng.randint(1, 5))) for x in some]
+    d = spark.createDataFrame(list(enumerate(near)), "doc_id long, simhash long")
+    for bits in (0, 1, 3):
+        got = sorted((r.a, r.b, r.distance) for r in sketch.similar_pairs(d, bits=bits).collect())
+        assert got == [(i, j, n) for i in range(300) for j in range(i + 1, 300) if 0 < (n := sketch.hamming(near[i], near[j])) <= bits]
+    shared = spark.createDataFrame([(i, (0x2BCD << 48) | rng.getrandbits(48)) for i in range(2000)], "k long, simhash long")
+    assert sketch._meetings(shared, "simhash", 3).filter("ka <> kb").count() < 20_000
+
+
+def test_simhashes_of_many():
+    texts = TEXTS + ODD + ["a b c", "x" * 3000 + " y z", "𝒳𝒴 x 🎉 z", "one two " * 300]
+    for n in (1, 3):
+        by_hand = []
+        for t in texts:
+            w = words.terms(t.lower())
+            hs = [sketch.fnv1a(u) for u in [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or w]
+            by_hand.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)))
+        assert [int(x) & (1 << 64) - 1 for x in sketch.simhashes(texts, n)] == by_hand == [sketch.simhash_text(t, n) for t in texts]
+
+
 def test_same_pairs(spark, tmp_path):
     from tokenpress.plans import texts
 

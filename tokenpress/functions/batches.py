@@ -56,15 +56,15 @@ def kept(name: object, make: Callable):
     return store[name]
 
 
-def sliced(one: Callable, returned) -> Callable[[Iterator], Iterator]:
-    """From batches of a function's arguments to arrays of one(values of a row), a slice of a batch each."""
+def sliced(many: Callable, returned) -> Callable[[Iterator], Iterator]:
+    """From batches of a function's arguments to arrays of many(rows), a slice of a batch each."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(returned)
 
     def made(rows: list) -> pa.Array:
-        values = [one(*r) for r in rows]
+        values = many(rows)
         if not pa.types.is_struct(kind):
             return pa.array(values, kind)
         fields = [kind.field(i) for i in range(kind.num_fields)]
@@ -81,9 +81,9 @@ def sliced(one: Callable, returned) -> Callable[[Iterator], Iterator]:
     return run
 
 
-def rowwise(one: Callable, returns: str, *columns: Column | str) -> Column:
-    """one(values of a row) for each row; for a struct it gives a tuple. Results go back a slice of a batch at a time: lists of short
-    strings take many times the bytes of their text, which must not be multiplied by the rows of a batch."""
+def slicewise(many: Callable[[list[tuple]], list], returns: str, *columns: Column | str) -> Column:
+    """What many(rows) gives for each of a list of rows, as tuples of the columns' values; for a struct, tuples. Results go back a slice of a
+    batch at a time: lists of short strings take many times the bytes of their text, which must not be multiplied by the rows of a batch."""
     from pyspark.sql.pandas.functions import ArrowUDFType
     from pyspark.sql.types import DataType
 
@@ -91,5 +91,10 @@ def rowwise(one: Callable, returns: str, *columns: Column | str) -> Column:
     returned = DataType.fromDDL(returns)
     with warnings.catch_warnings():  # the kind of function is given, not read from type hints
         warnings.simplefilter("ignore", UserWarning)
-        f = F.arrow_udf(sliced(one, returned), returned, ArrowUDFType.SCALAR_ITER)
+        f = F.arrow_udf(sliced(many, returned), returned, ArrowUDFType.SCALAR_ITER)
     return f(*(c if isinstance(c, Column) else F.col(c) for c in columns))
+
+
+def rowwise(one: Callable, returns: str, *columns: Column | str) -> Column:
+    """one(values of a row) for each row."""
+    return slicewise(lambda rows: [one(*r) for r in rows], returns, *columns)

@@ -2,42 +2,83 @@
 
 from __future__ import annotations
 
-import re
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TERM = None
+from .batches import slicewise
+from .words import terms
 
-
-def _terms(text: str) -> list[str]:
-    global _TERM
-    if _TERM is None:
-        import regex
-
-        _TERM = regex.compile(r"[\p{L}\p{N}\p{M}]+")
-    return _TERM.findall(text.lower())
+_BASIS, _PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
 def fnv1a(text: str) -> int:
     """64-bit FNV-1a over UTF-16 code units."""
-    h = 0xCBF29CE484222325
+    h = _BASIS
     for unit in np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").tolist():
-        h = (h ^ unit) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        h = (h ^ unit) * _PRIME & 0xFFFFFFFFFFFFFFFF
     return h
 
 
+def fnv1a_of(units: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """FNV-1a of parts of UTF-16 code units: of all parts at once, the first unit, then the second, and so on."""
+    size = ends - begins
+    order = np.argsort(-size, kind="stable")
+    at, size = begins[order], size[order]
+    h = np.full(len(at), _BASIS, np.uint64)
+    wide, prime = units.astype(np.uint64), np.uint64(_PRIME)
+    longest = int(size[0]) if len(size) else 0
+    left = np.searchsorted(-size, -np.arange(longest), side="left")  # how many have more units than 0, 1, ...
+    for i, n in enumerate(left.tolist()):
+        h[:n] ^= wide[at[:n] + i]
+        h[:n] *= prime
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def simhashes(texts: list[str], shingle: int = 1) -> np.ndarray:
+    """Of each text, the bits that more shingles set than don't, as signed longs; blank text: 0."""
+    found = [terms(t.lower()) for t in texts]
+    words = [w for f in found for w in f]
+    out = np.zeros(len(texts), np.int64)
+    if not words:
+        return out
+    units = np.frombuffer(" ".join(words).encode("utf-16-le", "surrogatepass"), "<u2")
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    if len(units) != size.sum() + len(words) - 1:  # characters of two units
+        size = np.array([len(w.encode("utf-16-le", "surrogatepass")) // 2 for w in words])
+    begin = np.cumsum(size + 1) - size - 1
+    end = begin + size
+    # A shingle is the part from its first word to its last; texts with fewer words have these.
+    firsts, lasts, counts, at = [], [], [], 0
+    for f in found:
+        n, width = len(f), shingle if len(f) >= shingle else 1
+        first = np.arange(at, at + n - width + 1) if n else np.zeros(0, np.int64)
+        firsts.append(first)
+        lasts.append(first + width - 1)
+        counts.append(len(first))
+        at += n
+    h = fnv1a_of(units, begin[np.concatenate(firsts)], end[np.concatenate(lasts)])
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    count = np.array(counts)
+    some = np.flatnonzero(count)
+    ones = np.add.reduceat(bits, (np.cumsum(count) - count)[some], axis=0, dtype=np.int32)
+    out[some] = np.packbits(2 * ones > count[some, None], axis=1).view(">i8")[:, 0]
+    return out
+
+
 def simhash_text(text: str, shingle: int = 1) -> int:
-    """Bits that more shingles set than don't; blank text: 0."""
-    words = _terms(text)
+    if len(text) > 400:
+        return int(simhashes([text], shingle)[0]) & 0xFFFFFFFFFFFFFFFF
+    words = terms(text.lower())
     units = [" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)] or words
     if not units:
         return 0
-    votes = np.zeros(64, np.int64)
-    for h in map(fnv1a, units):
-        votes += np.unpackbits(np.array([h], ">u8").view(np.uint8)).astype(np.int64) * 2 - 1
-    return int.from_bytes(np.packbits(votes > 0).tobytes(), "big")
+    bits = np.unpackbits(np.array([fnv1a(u) for u in units], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(2 * bits.sum(0, np.int64) > len(units)).tobytes(), "big")
 
 
 def hamming(a: int, b: int) -> int:
@@ -47,25 +88,27 @@ def hamming(a: int, b: int) -> int:
 def simhash(text: Column | str, shingle: int = 1) -> Column:
     """As a signed long with the same bits."""
 
-    @F.pandas_udf("long")
-    def run(s):
-        return s.map(lambda x: int(np.uint64(simhash_text(x or "", shingle)).astype(np.int64)))
-
-    return run(text if isinstance(text, Column) else F.col(text))
+    return slicewise(lambda rows: simhashes([x or "" for (x,) in rows], shingle), "bigint", text)
 
 
 def similar_pairs(hashes: DataFrame, key: str = "doc_id", value: str = "simhash", bits: int = 3) -> DataFrame:
     """a, b, distance for pairs of distinct fingerprints of rows at most `bits` apart, with their smallest keys: fingerprints are made
-    distinct first, then meet in one of bits + 1 bands that they must share. The other rows of a fingerprint: see `same_pairs`."""
-    one = _classes(_distinct(hashes, key, value), key, value)
-    width = -(-64 // (bits + 1))
-    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(value, i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1)).alias("v")) for i in range(bits + 1)))
+    distinct first, then meet in two of bits + 2 blocks that they must share. One of bits + 1 blocks would do, but 16 bits are shared
+    by one in 65,536 by chance, so that meetings grow with the square of the rows. The other rows of a fingerprint: see `same_pairs`."""
+    dist = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
+    pairs = _meetings(_classes(_distinct(hashes, key, value), key, value), value, bits).filter((F.col("va") < F.col("vb")) & (dist <= bits))
+    return pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), dist.cast("bigint").alias("distance")).distinct()
+
+
+def _meetings(one: DataFrame, value: str, bits: int) -> DataFrame:
+    """ka, va, kb, vb: pairs, either way round, that share two blocks."""
+    width = -(-64 // (bits + 2))
+    block = lambda i: F.shiftrightunsigned(value, i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1))
+    bands = F.array(*(F.struct(F.lit(n).alias("i"), F.shiftleft(block(i), width).bitwiseOR(block(j)).alias("v")) for n, (i, j) in enumerate(combinations(range(bits + 2), 2))))
     b = one.select("k", value, F.explode(bands).alias("band"))
     left = b.select("band", F.col("k").alias("ka"), F.col(value).alias("va"))
     right = b.select("band", F.col("k").alias("kb"), F.col(value).alias("vb"))
-    dist = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
-    pairs = left.join(right, "band").filter((F.col("va") < F.col("vb")) & (dist <= bits))
-    return pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), dist.cast("bigint").alias("distance")).distinct()
+    return left.join(right, "band")
 
 
 def _distinct(hashes: DataFrame, key: str, value: str) -> DataFrame:

@@ -174,6 +174,14 @@ def test_crush():
     assert route.crush_array("nope")["text"] == "nope" and route.crush_array("[]")["strategy"] == "none"
 
 
+@pytest.mark.parametrize("name", ["json_rows_markdown", "json_rows_csv", "json_row_drop"])
+def test_arrays_are_crushed_once(spark, sf_dir, name):
+    from tokenpress.plans.catalogue import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_tables_code_html(spark):
     t = "| a | b | c |\n|---|---|---|\n" + "\n".join(f"| {i} |  | same text here |" for i in range(9))
     out = route.shrink_table(t)

@@ -81,9 +81,10 @@ def sliced(many: Callable, returned) -> Callable[[Iterator], Iterator]:
     return run
 
 
-def slicewise(many: Callable[[list[tuple]], list], returns: str, *columns: Column | str) -> Column:
+def slicewise(many: Callable[[list[tuple]], list], returns: str, *columns: Column | str, once: bool = False) -> Column:
     """What many(rows) gives for each of a list of rows, as tuples of the columns' values; for a struct, tuples. Results go back a slice of a
-    batch at a time: lists of short strings take many times the bytes of their text, which must not be multiplied by the rows of a batch."""
+    batch at a time: lists of short strings take many times the bytes of their text, which must not be multiplied by the rows of a batch. once: a filter on the result doesn't
+    repeat the function, in workers of its own, below the place where it stands."""
     from pyspark.sql.pandas.functions import ArrowUDFType
     from pyspark.sql.types import DataType
 
@@ -92,9 +93,9 @@ def slicewise(many: Callable[[list[tuple]], list], returns: str, *columns: Colum
     with warnings.catch_warnings():  # the kind of function is given, not read from type hints
         warnings.simplefilter("ignore", UserWarning)
         f = F.arrow_udf(sliced(many, returned), returned, ArrowUDFType.SCALAR_ITER)
-    return f(*(c if isinstance(c, Column) else F.col(c) for c in columns))
+    return (f.asNondeterministic() if once else f)(*(c if isinstance(c, Column) else F.col(c) for c in columns))
 
 
-def rowwise(one: Callable, returns: str, *columns: Column | str) -> Column:
+def rowwise(one: Callable, returns: str, *columns: Column | str, once: bool = False) -> Column:
     """one(values of a row) for each row."""
-    return slicewise(lambda rows: [one(*r) for r in rows], returns, *columns)
+    return slicewise(lambda rows: [one(*r) for r in rows], returns, *columns, once=once)

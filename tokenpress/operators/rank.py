@@ -123,22 +123,25 @@ def _bags(sentences: list[str], stop: frozenset[str]) -> list[list[str]]:
 def transitions(bags: list[list[str]], block: int = 256) -> np.ndarray:
     """From each set of words to the others, shares by Jaccard similarity; rows without any pass nothing on. Made a few rows at a time: of
     a text's square of sentences there is this one alone."""
-    index: dict[str, int] = {}
-    rows = [sorted({index.setdefault(w, len(index)) for w in b}) for b in bags]
+    sets = [set(b) for b in bags]
+    df = Counter(w for x in sets for w in x)
+    index = {w: i for i, w in enumerate(w for w, d in df.items() if d > 1)}  # the others are shared by no two
     n = len(bags)
     a = np.zeros((n, max(len(index), 1)), np.float32)
-    for i, r in enumerate(rows):
-        a[i, r] = 1
-    size = a.sum(1)
+    for i, x in enumerate(sets):
+        a[i, [index[w] for w in x if w in index]] = 1
+    size = np.array([len(x) for x in sets], np.float32)
     out = np.empty((n, n))
     for i in range(0, n, block):
         p = out[i : i + block]
         both = a[i : i + block] @ a.T
-        union = size[i : i + block, None] + size[None, :] - both
-        p[:] = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+        union = np.maximum(size[i : i + block, None] + size[None, :] - both, 1)  # at 0, both is 0 too
+        both /= union
+        p[:] = both
         p[np.arange(len(p)), np.arange(i, i + len(p))] = 0
         total = p.sum(1)[:, None]
-        np.divide(p, total, out=p, where=total > 0)
+        total[total == 0] = 1
+        p /= total
     return out
 
 
